@@ -1,7 +1,7 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries.
 
-Every position of a text has a boundary strength: end of paragraph, line, sentence, clause, comma group, word,
-or none. A sparse table of range maxima over (strength, position) answers the strongest and, among equals,
+Every position of a text has a boundary strength: end of paragraph, of a line after a full stop, sentence, clause or wrapped line,
+comma group, word, or none. A sparse table of range maxima over (strength, position) answers the strongest and, among equals,
 rightmost cut of any window in two look-ups. From the start of a piece the window is the later half of what the limit
 permits, then all of it beyond the overlap; the next piece begins `overlap` characters before the cut.
 All texts of an Arrow batch advance together, one piece each per step.
@@ -63,7 +63,10 @@ def strengths(cps):
     s[isin(cps, CJK_CLAUSE)] = CLAUSE
     s[cjk_stop & ~isin(nxt, CLOSERS + CJK_STOPS) & ~gap_next] = SENTENCE
     s[stop & isin(nxt, "\n\r")] = SENTENCE
-    s[newline & ~isin(nxt, "\n\r")] = LINE
+    s[cps == ord("|")] = WORD
+    # a line end after a full stop is a pause of its own, any other may be a mere wrap
+    s[newline & ~isin(nxt, "\n\r")] = CLAUSE
+    s[newline & ~isin(nxt, "\n\r") & isin(before, STOPS + CJK_STOPS)] = LINE
     double = newline & isin(np.concatenate([[np.uint32(0)], cps[:-1]]), "\n\r") & (np.concatenate([[np.uint32(0)], cps[:-1]]) != 13)
     s[double & ~isin(nxt, "\n\r")] = PARAGRAPH
     # never between a letter and its marks, inside CRLF or an emoji sequence
