@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import lookalike, splitting, tokens
+from vellum.llm import lookalike, scans, splitting, tokens
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,17 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return _p4_values(spark, d).withColumn("form", lookalike.canonical_form(F.col("value")))
 
 
+# 5. scanned pages
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_lines(table(spark, d, "extraction_results")).distinct()
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_texts(table(spark, d, "extraction_results")).distinct()
+
+
 # 8. tokens
 
 
@@ -52,7 +63,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms, p8_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms, p5_found, p5_text, p8_ids)}
 
 SQL: dict[str, str] = {
     "p1_found": """
