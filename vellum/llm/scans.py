@@ -50,8 +50,8 @@ STOPS = {
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CHUNK = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿŠšŽžŘřČčĚěŐő]+")
-_HYPHENED = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
-_DIVIDED = re.compile(r"[^\W_]+(?:-|‐|\xad|¬) ?\n\s*[^\W_]+")
+_HYPHENED = re.compile(r"\b[^\W\d_]+(?:-[^\W\d_]+)+")
+_DIVIDED = re.compile(r"[-‐\xad¬] ?\n\s*")
 _CJK = re.compile(r"[㐀-鿿#，。、％%：；]+")
 _DIGITS = re.compile(r"[0-9]+")
 _PAGE = re.compile(
@@ -75,6 +75,20 @@ def language_of(words: list[str]) -> str:
     return best
 
 
+def without_divided(text: str) -> str:
+    """The text without its words that go on in the next line, so that their halves aren't counted as words."""
+    parts, at = [], 0
+    for m in _DIVIDED.finditer(text):
+        a, b = m.start(), m.end()
+        while a > at and text[a - 1].isalnum():
+            a -= 1
+        while b < len(text) and text[b].isalnum():
+            b += 1
+        parts.append(text[at:a])
+        at = max(at, b)
+    return " ".join([*parts, text[at:]])
+
+
 def windows(text: str) -> Iterator[str]:
     """Three-character windows of Chinese runs; line ends are passed over, numbers count as one sign."""
     for run in _CJK.findall(_DIGITS.sub("#", text.replace("\n", ""))):
@@ -101,7 +115,7 @@ def count_strings(texts: DataFrame) -> DataFrame:
             for t in batch.column(0).to_pylist():
                 if not t:
                     continue
-                flat = _DIVIDED.sub(" ", t).lower() if "\n" in t else t.lower()
+                flat = without_divided(t).lower()
                 words = _CHUNK.findall(flat)
                 by_lang.setdefault(language_of(words), Counter()).update(words)
                 if "-" in flat:
