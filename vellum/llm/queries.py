@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import lookalike, scans, splitting, tokens
+from vellum.llm import encoding, lookalike, scans, splitting, tokens
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,18 @@ def p5_text(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired_texts(table(spark, d, "extraction_results")).distinct()
 
 
+# 6. wrong encoding
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_values(table(spark, d, "extraction_results")).select("result_id", "field").distinct()
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    rows = encoding.restored_values(table(spark, d, "extraction_results"))
+    return rows.dropDuplicates(["result_id", "field", "pos", "value"])
+
+
 # 8. tokens
 
 
@@ -63,7 +75,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms, p5_found, p5_text, p8_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p8_ids)}
 
 SQL: dict[str, str] = {
     "p1_found": """
