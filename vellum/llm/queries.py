@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import encoding, lookalike, scans, splitting, tokens
+from vellum.llm import encoding, history, lookalike, scans, splitting, tokens
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,19 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.dropDuplicates(["result_id", "field", "item", "piece_no", "piece"])
 
 
+# 2. new batches against history
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.known_candidates(table(spark, d, "seen_papers"), table(spark, d, "candidates"))
+
+
+def p2_split(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate with its batch and whether its work was known."""
+    known = p2_found(spark, d).withColumn("known", F.lit(True))
+    return table(spark, d, "candidates").select("cand_id", "batch_no").join(known, "cand_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 # 4. look-alike text
 
 
@@ -75,7 +88,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p8_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p8_ids)}
 
 SQL: dict[str, str] = {
     "p1_found": """
