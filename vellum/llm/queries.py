@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import encoding, history, lookalike, scans, splitting, tokens
+from vellum.llm import abuse, encoding, history, lookalike, scans, splitting, tokens
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +88,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p8_ids)}
+# 10. offensive content
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "abuse_examples"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("offensive").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_rates(p10_scores(spark, d))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p8_ids, p10_found, p10_scores, p10_rates)}
 
 SQL: dict[str, str] = {
     "p1_found": """
