@@ -161,8 +161,9 @@ def fit(examples: list[tuple[str, int]]) -> tuple[list[str], list[str], float]:
         # between the worst accepted and the best rejected
         least = -best[1]
         # a quarter of the way from ordinary to offensive wording: new wordings are less alike than those held out
-        below = max((x for x, y in held if x < least), default=0.0)
-        threshold = below + (least - below) / 4 if below > 0 else least / 4
+        usual = sorted(x for x, y in held if not y)
+        below = max(0.0, usual[int(len(usual) * 0.95)])
+        threshold = below + (least - below) / 4
     threshold = min(max(threshold, THRESHOLD_BOUNDS[0]), THRESHOLD_BOUNDS[1])
     return [*(even(t) for t in OFFENSIVE), *bad], [*(even(t) for t in ORDINARY), *good], threshold
 
