@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import abuse, encoding, history, lookalike, scans, splitting, tokens
+from vellum.llm import abuse, encoding, history, lookalike, mixing, scans, splitting, tokens
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+# 9. mixture
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached_shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 # 10. offensive content
 
 
@@ -103,7 +114,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abuse_rates(p10_scores(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p8_ids, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 SQL: dict[str, str] = {
     "p1_found": """
