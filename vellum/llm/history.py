@@ -35,6 +35,8 @@ TREES = RARE_TREES + COMMON_TREES
 ROUNDS = (("rare", 6), ("rare", 4), ("common", 10))
 #: Buckets of the frequency sketch that weighs the words: its size does not depend on the data.
 BUCKETS = 1 << 20
+#: A word is usual if at least one title in so many has it.
+USUAL_SHARE = 2000
 
 
 def clean_doi(c: Column) -> Column:
@@ -53,14 +55,38 @@ def clean_arxiv(c: Column) -> Column:
     return F.when(a.rlike(r"^(\d{4}\.\d{4,5}|[a-z.\-]+/\d{7})$"), a)
 
 
-def _features(base: str) -> set[str]:
-    """Words; of Chinese, runs of three and four characters."""
+def _less(w: str) -> list[str]:
+    return [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]
+
+
+class Usual:
+    """The words that many titles have, and what slips of them look like: within one character left out on either side."""
+
+    def __init__(self, words: list[str]):
+        self.words = frozenset(words)
+        self.near = {x: w for w in reversed(words) if len(w) > 3 for x in _less(w)}
+        self.memo: dict[str, str] = {}
+
+    def __call__(self, w: str) -> str:
+        if w in self.words or len(w) < 4:
+            return w
+        known = self.memo.get(w)
+        if known is None:
+            known = next((self.near[x] for x in _less(w) if x in self.near), w)
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[w] = known
+        return known
+
+
+def _features(base: str, usual) -> set[str]:
+    """Words, slips of usual ones put right; of Chinese, runs of three and four characters."""
     if any("㐀" <= c <= "鿿" for c in base):
         return {base[i : i + k] for k in (3, 4) for i in range(len(base) - k + 1)} or {base}
-    return set(base.split()) or {base}
+    return {usual(w) for w in base.split()} or {base}
 
 
-def _hashes(bases: list[str]):
+def _hashes(bases: list[str], usual=lambda w: w):
     """(64-bit hashes of the features of all bases end to end, where each base's features begin)."""
     import numpy as np
     import xxhash
@@ -69,17 +95,33 @@ def _hashes(bases: list[str]):
     starts = [0]
     digest = xxhash.xxh3_64_intdigest
     for b in bases:
-        flat += [digest(g) for g in _features(b)]
+        flat += [digest(g) for g in _features(b, usual)]
         starts.append(len(flat))
     return np.array(flat, "uint64"), np.array(starts, "int64")
 
 
-def feature_counts(entries: DataFrame):
-    """How many bases have a feature of each bucket; BUCKETS numbers, whatever the data."""
+class Weights:
+    """Bucket counts of the features and the usual words; what every signature is made with."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    def __init__(self, counts, usual: list[str]):
+        self.counts, self.usual_words, self._usual = counts, usual, None
+
+    @property
+    def usual(self) -> Usual:
+        if self._usual is None:
+            self._usual = Usual(self.usual_words)
+        return self._usual
 
+    def __getstate__(self):
+        return {"counts": self.counts, "usual_words": self.usual_words, "_usual": None}
+
+
+def feature_weights(entries: DataFrame) -> Weights:
+    """How many bases have a feature of each bucket: BUCKETS numbers, whatever the data. Usual are words in at least 1 in
+    USUAL_SHARE titles; of these there are at most USUAL_SHARE times the words of a title."""
+    import numpy as np
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, "int64")
         for batch in batches:
             h, _ = _hashes([b for b in batch.column(0).to_pylist() if b])
@@ -88,16 +130,16 @@ def feature_counts(entries: DataFrame):
         yield pa.RecordBatch.from_arrays([pa.array(some.astype("int32")), pa.array(total[some])], names=["bucket", "n"])
 
     rows = entries.select("base").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    import numpy as np
-
     out = np.zeros(BUCKETS, "int32")
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
+    least = max(4.0, float(out.max()) / USUAL_SHARE)
+    words = entries.where("not base rlike '[㐀-鿿]'").select(F.explode(F.array_distinct(F.split("base", " "))).alias("w")).groupBy("w").count()
+    usual = words.where(F.col("count") >= least).orderBy(F.desc("count"), "w").toArrow().column(0).to_pylist()
+    return Weights(out, usual)
 
 
-def signature(base: Column, counts, closed: bool = False) -> Column:
-    """TREES strings of two hexadecimal digits a level. `counts`: broadcast of the bucket counts; `closed`: they hold all titles
-    that will ever be compared, so that what occurs once (mostly slips of typing) can be shared with nothing and hardly counts."""
+def signature(base: Column, weights) -> Column:
+    """TREES strings of two hexadecimal digits a level. `weights`: broadcast of the Weights."""
 
     @F.arrow_udf("array<string>")
     def sign(bases: pa.Array) -> pa.Array:
@@ -107,14 +149,13 @@ def signature(base: Column, counts, closed: bool = False) -> Column:
         n = len(texts)
         if not n:
             return pa.array([], pa.list_(pa.string()))
-        h, starts = _hashes([t or "" for t in texts])
-        seen = np.asarray(counts.value, "float64")
-        total = seen.max() + 1
-        df = seen[(h % np.uint64(BUCKETS)).astype("int64")]
+        w = weights.value
+        h, starts = _hashes([t or "" for t in texts], w.usual)
+        seen = w.counts
+        total = float(seen.max()) + 1
+        df = seen[(h % np.uint64(BUCKETS)).astype("int64")].astype("float64")
         rarity = np.log1p(total / (1 + df)) ** 2
-        if closed:
-            rarity[df <= 1] = 0.5
-        common = np.where(df >= max(4.0, total / 2000), 1.0, 1e-4)
+        common = np.where(df >= max(4.0, total / USUAL_SHARE), 1.0, 1e-4)
         sizes = np.diff(starts)
         levels = [(t, k) for t in range(TREES) for k in range(RARE_DEPTH if t < RARE_TREES else COMMON_DEPTH)]
         out = np.empty((n, len(levels)), "uint8")
@@ -160,10 +201,10 @@ def identifier_matches(works: DataFrame) -> DataFrame:
     return real.select("ord").distinct()
 
 
-def forest_entries(wordings: DataFrame, counts, closed: bool = False) -> DataFrame:
+def forest_entries(wordings: DataFrame, weights) -> DataFrame:
     """One row per tree and wording: wid, base, marks, short, first, tree, key."""
     spread = max(wordings.sparkSession.sparkContext.defaultParallelism, int(wordings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = wordings.repartition(spread, "wid").withColumn("__s", signature(F.col("base"), counts, closed))
+    signed = wordings.repartition(spread, "wid").withColumn("__s", signature(F.col("base"), weights))
     return signed.select(*wordings.columns, F.posexplode("__s").alias("tree", "key"))
 
 
@@ -204,8 +245,8 @@ def known_rows(works: DataFrame) -> DataFrame:
     """(ord) of the rows that describe a work an earlier row describes; ord 0 is the history."""
     works = cut(works)
     wordings = cut(wordings_of(works))
-    counts = works.sparkSession.sparkContext.broadcast(feature_counts(wordings))
-    run = cut(forest_entries(wordings, counts, closed=True))
+    weights = works.sparkSession.sparkContext.broadcast(feature_weights(wordings))
+    run = cut(forest_entries(wordings, weights))
     pairs = near_pairs(run, run)
     both = pairs.unionByName(pairs.select(F.col("other").alias("wid"), F.col("wid").alias("other")))
     earliest = both.join(wordings.select(F.col("wid").alias("other"), "first"), "other").groupBy("wid").agg(F.min("first").alias("near"))
@@ -242,19 +283,22 @@ class HistoryForest:
     def start(self, seen: DataFrame) -> None:
         works = cut(works_of(seen.select(F.lit(0).cast("long").alias("ord"), "paper_id", "doi", "arxiv_id", "title")))
         wordings = wordings_of(works)
-        counts = feature_counts(wordings)
-        self.spark.createDataFrame([(counts.tolist(),)], "counts array<long>").write.mode("overwrite").parquet(f"{self.folder}/weights")
-        sorted_run(forest_entries(cut(wordings), self.spark.sparkContext.broadcast(counts))).write.mode("overwrite").parquet(f"{self.folder}/entries/run=0")
+        weights = feature_weights(wordings)
+        self.spark.createDataFrame([(weights.counts.tolist(), weights.usual_words)], "counts array<int>, usual array<string>").write.mode("overwrite").parquet(f"{self.folder}/weights")
+        sorted_run(forest_entries(cut(wordings), self.spark.sparkContext.broadcast(weights))).write.mode("overwrite").parquet(f"{self.folder}/entries/run=0")
         works.write.mode("overwrite").parquet(f"{self.folder}/works/run=0")
 
     def accept(self, batch: DataFrame, number: int) -> DataFrame:
         """`batch` (cand_id, paper_id, doi, arxiv_id, title) with the column known; its new rows become run `number` (from 1)."""
-        counts = self.spark.sparkContext.broadcast(self._read("weights").first()["counts"])
+        import numpy as np
+
+        kept = self._read("weights").first()
+        weights = self.spark.sparkContext.broadcast(Weights(np.array(kept["counts"], "int32"), list(kept["usual"])))
         own = cut(works_of(batch.select(F.col("cand_id").cast("long").alias("ord"), "paper_id", "doi", "arxiv_id", "title")))
         old = self._read("works").select(F.lit(0).cast("long").alias("ord"), *[c for c in own.columns if c != "ord"])
         by_id = identifier_matches(old.unionByName(own)).where("ord > 0")
         own_wordings = cut(wordings_of(own))
-        own_entries = cut(forest_entries(own_wordings, counts))
+        own_entries = cut(forest_entries(own_wordings, weights))
         old_entries = self._read("entries").withColumn("first", F.lit(0).cast("long"))
         every = old_entries.unionByName(own_entries.select(old_entries.columns)).dropDuplicates(["tree", "wid"])
         pairs = near_pairs(own_entries, every)
@@ -265,7 +309,7 @@ class HistoryForest:
         titled = titled.join(firsts.withColumnRenamed("other", "wid"), "wid", "left").join(near, "wid", "left")
         known = cut(by_id.unionByName(titled.where("f < ord or near < ord").select("ord")).distinct())
         fresh = own.join(known, "ord", "left_anti")
-        sorted_run(forest_entries(wordings_of(fresh), counts)).write.mode("overwrite").parquet(f"{self.folder}/entries/run={number}")
+        sorted_run(forest_entries(wordings_of(fresh), weights)).write.mode("overwrite").parquet(f"{self.folder}/entries/run={number}")
         fresh.write.mode("overwrite").parquet(f"{self.folder}/works/run={number}")
         flag = known.select(F.col("ord").alias("__k"), F.lit(True).alias("known"))
         return batch.join(flag, F.col("cand_id") == F.col("__k"), "left").drop("__k").withColumn("known", F.coalesce("known", F.lit(False)))
