@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import abuse, encoding, history, lookalike, mixing, scans, splitting, tokens
+from vellum.llm import abuse, encoding, history, lookalike, mixing, names, scans, splitting, tokens
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,17 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return rows.dropDuplicates(["result_id", "field", "pos", "value"])
 
 
+# 7. names
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.group_spellings(names.spellings_of(table(spark, d, "papers"), table(spark, d, "seen_papers")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(p7_groups(spark, d))
+
+
 # 8. tokens
 
 
@@ -114,7 +125,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abuse_rates(p10_scores(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 SQL: dict[str, str] = {
     "p1_found": """
