@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import abuse, encoding, history, lookalike, mixing, names, scans, splitting, tokens
+from vellum.llm import abuse, encoding, history, linkage, lookalike, mixing, names, scans, splitting, tokens
 from vellum.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,20 @@ def p2_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "candidates").select("cand_id", "batch_no").join(known, "cand_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+# 3. papers and reading list
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All candidate pairs with what speaks for them and their confidence."""
+    p = table(spark, d, "papers").select("id", "title", "authors", "year", "doi")
+    r = table(spark, d, "reading_list").select(F.col("item_id").alias("id"), "title", "authors", "year", "doi")
+    return linkage.link(p, r).withColumnsRenamed({"a": "id", "b": "item_id", "title": "title_likeness", "author": "author_likeness", "year": "year_likeness", "doi": "doi_likeness"})
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pairs(spark, d).where(F.col("confidence") >= linkage.BELIEF).select("id", "item_id")
+
+
 # 4. look-alike text
 
 
@@ -125,7 +139,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abuse_rates(p10_scores(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p3_found, p3_pairs, p4_found, p4_forms, p5_found, p5_text, p6_found, p6_restored, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 SQL: dict[str, str] = {
     "p1_found": """

@@ -22,7 +22,7 @@ CJK_SAME = [("演变", "变化"), ("探讨", "研究"), ("观测", "监测"), ("
 _TAG = re.compile(r"</?[A-Za-z][^>]*>")
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 _CN = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "上": 1, "下": 2, "中": 2}
-_PART = re.compile(r"^(.*\S)[\s:：,，\-–—(（\[]+(?:part|pt|no|number|volume|vol|chapter|study|paper)\.?\s*(\d+|[ivx]+)[)）\]]?$")
+_PART = re.compile(r"^(.*\S)[\s:：,，\-–—(（\[]+(?:part|pt|no|number|volume|vol|chapter|study|paper)\.?\s*(\d+|[ivx]+|[a-h])[)）\]]?$")
 _TAIL_ROMAN = re.compile(r"^(.*\S)[\s:,(（]+(ii|iii|iv|vi|vii|viii|ix)[)）]?$")
 _TAIL_NUMBER = re.compile(r"^(.*[^\W\d_]\)?)\s*[\s,:(（](\d{1,2})[)）]?$")
 _CN_PART = re.compile(r"^(.*\S)[\s:：，,\-—(（\[]*第?([一二三四五六七八九十\d]{1,2})(?:部分|篇|报|期)[)）\]]?$|^(.*\S)[(（]([一二三四五六七八九十上中下]{1,2})[)）]$")
@@ -154,6 +154,8 @@ def parse(title: str | None) -> tuple[str, str, bool, bool]:
     else:
         t = t.replace("by means of", "using")
         words = re.sub(r"[\W_]+", " ", t).split()
+        if short and len(words) > 5 and not title.rstrip(" .…")[-1:].isspace():
+            words = words[:-1]  # the last word may be cut
         base = " ".join(w for w in words if w not in FUNCTION) or " ".join(words)
     return base, "+".join(sorted(set(marks))), False, short
 
