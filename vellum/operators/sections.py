@@ -62,6 +62,10 @@ def split_sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return last.select(key, "section", strip(F.col("body")).alias("body"))
 
 
+def _first_like(marked: Column, pattern: str) -> Column:
+    return F.try_element_at(F.filter(marked, lambda x: (F.length(x["t"]) <= 120) & x["t"].rlike(pattern)), F.lit(1))["n"]
+
+
 def detected_sections(t: Column) -> Column:
     """map<section, line number>: the first line (from 1, at most 120 characters) that is a heading, -1 where only a word tells of it."""
     entries = []
@@ -69,7 +73,7 @@ def detected_sections(t: Column) -> Column:
     low = F.lower(t)
     for name, pattern in STRICT.items():
         whole = rf"^{pattern}$" if name != "methods" else rf"^({pattern}|{NUMBER}study\s*area\b.*)$"
-        at = F.try_element_at(F.filter(marked, lambda x, p=whole: (F.length(x["t"]) <= 120) & x["t"].rlike(p)), F.lit(1))["n"]
+        at = _first_like(marked, whole)
         told = F.lit(False)
         for word in LOOSE[name]:
             told = told | F.contains(low, F.lit(word))
