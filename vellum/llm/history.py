@@ -34,7 +34,7 @@ TREES = RARE_TREES + COMMON_TREES
 #: a prefix of 10 is shared in one of the 8 trees with probability 0.97.
 ROUNDS = (("rare", 6), ("rare", 4), ("common", 10))
 #: Buckets of the frequency sketch that weighs the words: its size does not depend on the data.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: A word is usual if at least one title in so many has it.
 USUAL_SHARE = 2000
 
@@ -202,10 +202,10 @@ def identifier_matches(works: DataFrame) -> DataFrame:
 
 
 def forest_entries(wordings: DataFrame, weights) -> DataFrame:
-    """One row per tree and wording: wid, base, marks, short, first, tree, key."""
+    """One row per tree and wording: wid, marks, tree, key. The titles themselves stay behind in `wordings`."""
     spread = max(wordings.sparkSession.sparkContext.defaultParallelism, int(wordings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = wordings.repartition(spread, "wid").withColumn("__s", signature(F.col("base"), weights))
-    return signed.select(*wordings.columns, F.posexplode("__s").alias("tree", "key"))
+    signed = wordings.select("wid", "base", "marks").repartition(spread, "wid").withColumn("__s", signature(F.col("base"), weights))
+    return signed.select("wid", F.xxhash64("marks").alias("marks"), F.posexplode("__s").alias("tree", "key"))
 
 
 def sorted_run(entries: DataFrame) -> DataFrame:
@@ -213,23 +213,27 @@ def sorted_run(entries: DataFrame) -> DataFrame:
     return entries.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key")
 
 
-def near_pairs(batch: DataFrame, run: DataFrame) -> DataFrame:
-    """(wid, other) of wordings of `batch` and entries of `run` with equal marks that name the same work.
+def near_pairs(batch: DataFrame, run: DataFrame, wordings: DataFrame) -> DataFrame:
+    """(wid, other) of entries of `batch` and entries of `run` with equal marks that name the same work.
 
-    Both are forest entries: wid, base, marks, short, first, tree, key.
+    `wordings` (wid, base, short, ...) has the titles of both; only pairs that met fetch them.
     """
     found = None
     pending = batch
+    own = wordings.select("wid", "base", "short")
+    others = wordings.select(F.col("wid").alias("other"), F.col("base").alias("other_base"), F.col("short").alias("other_short"))
     for kind, width in ROUNDS:
         trees = F.col("tree") < RARE_TREES if kind == "rare" else F.col("tree") >= RARE_TREES
-        a = pending.where(trees).select("wid", "base", "marks", "short", "tree", F.substring("key", 1, 2 * width).alias("prefix"))
-        b = run.where(trees).select(F.col("wid").alias("other"), F.col("base").alias("other_base"), "marks", F.col("short").alias("other_short"), "tree", F.substring("key", 1, 2 * width).alias("prefix"))
-        met = a.join(b, ["tree", "prefix", "marks"]).where("wid <> other")
+        # one number for tree, prefix and marks
+        cell = F.xxhash64("tree", F.substring("key", 1, 2 * width), "marks")
+        a = pending.where(trees).select("wid", cell.alias("cell"))
+        b = run.where(trees).select(F.col("wid").alias("other"), cell.alias("cell"))
+        met = a.join(b, "cell").where("wid <> other").select("wid", "other").distinct()
+        met = met.join(own, "wid").join(others, "other")
         # a comparison in the JVM before the exact one: slips, or one title begins the other
         m = F.least(F.length("base"), F.length("other_base"))
         loose = (F.levenshtein("base", "other_base", 16) >= 0) | (F.levenshtein(F.substring(F.col("base"), F.lit(1), m), F.substring(F.col("other_base"), F.lit(1), m), 6) >= 0)
-        met = met.where(loose).select("wid", "other", "base", "other_base", (F.col("short") | F.col("other_short")).alias("cut")).dropDuplicates(["wid", "other"])
-        pairs = cut(met.where(same_work(F.col("base"), F.col("other_base"), F.col("cut"))).select("wid", "other"))
+        pairs = cut(met.where(loose).where(same_work(F.col("base"), F.col("other_base"), F.col("short") | F.col("other_short"))).select("wid", "other"))
         found = pairs if found is None else found.unionByName(pairs).distinct()
         pending = pending.join(pairs.select("wid").distinct(), "wid", "left_anti")
     return found
@@ -247,7 +251,7 @@ def known_rows(works: DataFrame) -> DataFrame:
     wordings = cut(wordings_of(works))
     weights = works.sparkSession.sparkContext.broadcast(feature_weights(wordings))
     run = cut(forest_entries(wordings, weights))
-    pairs = near_pairs(run, run)
+    pairs = near_pairs(run, run, wordings)
     both = pairs.unionByName(pairs.select(F.col("other").alias("wid"), F.col("wid").alias("other")))
     earliest = both.join(wordings.select(F.col("wid").alias("other"), "first"), "other").groupBy("wid").agg(F.min("first").alias("near"))
     titled = works.where("base <> '' and not generic and ord > 0").withColumn("wid", F.xxhash64("base", "marks")).select("ord", "wid")
@@ -286,6 +290,7 @@ class HistoryForest:
         weights = feature_weights(wordings)
         self.spark.createDataFrame([(weights.counts.tolist(), weights.usual_words)], "counts array<int>, usual array<string>").write.mode("overwrite").parquet(f"{self.folder}/weights")
         sorted_run(forest_entries(cut(wordings), self.spark.sparkContext.broadcast(weights))).write.mode("overwrite").parquet(f"{self.folder}/entries/run=0")
+        wordings.write.mode("overwrite").parquet(f"{self.folder}/wordings/run=0")
         works.write.mode("overwrite").parquet(f"{self.folder}/works/run=0")
 
     def accept(self, batch: DataFrame, number: int) -> DataFrame:
@@ -299,17 +304,20 @@ class HistoryForest:
         by_id = identifier_matches(old.unionByName(own)).where("ord > 0")
         own_wordings = cut(wordings_of(own))
         own_entries = cut(forest_entries(own_wordings, weights))
-        old_entries = self._read("entries").withColumn("first", F.lit(0).cast("long"))
+        old_entries = self._read("entries")
         every = old_entries.unionByName(own_entries.select(old_entries.columns)).dropDuplicates(["tree", "wid"])
-        pairs = near_pairs(own_entries, every)
+        old_wordings = self._read("wordings")
+        pairs = near_pairs(own_entries, every, old_wordings.unionByName(own_wordings.select(old_wordings.columns)).dropDuplicates(["wid"]))
         firsts = own_wordings.select(F.col("wid").alias("other"), F.col("first").alias("f"))
-        firsts = old_entries.where("tree = 0").select(F.col("wid").alias("other"), F.lit(0).cast("long").alias("f")).unionByName(firsts).groupBy("other").agg(F.min("f").alias("f"))
+        firsts = old_wordings.select(F.col("wid").alias("other"), F.lit(0).cast("long").alias("f")).unionByName(firsts).groupBy("other").agg(F.min("f").alias("f"))
         near = pairs.join(firsts, "other").groupBy("wid").agg(F.min("f").alias("near"))
         titled = own.where("base <> '' and not generic").withColumn("wid", F.xxhash64("base", "marks"))
         titled = titled.join(firsts.withColumnRenamed("other", "wid"), "wid", "left").join(near, "wid", "left")
         known = cut(by_id.unionByName(titled.where("f < ord or near < ord").select("ord")).distinct())
         fresh = own.join(known, "ord", "left_anti")
-        sorted_run(forest_entries(wordings_of(fresh), weights)).write.mode("overwrite").parquet(f"{self.folder}/entries/run={number}")
+        fresh_wordings = cut(wordings_of(fresh))
+        sorted_run(forest_entries(fresh_wordings, weights)).write.mode("overwrite").parquet(f"{self.folder}/entries/run={number}")
+        fresh_wordings.write.mode("overwrite").parquet(f"{self.folder}/wordings/run={number}")
         fresh.write.mode("overwrite").parquet(f"{self.folder}/works/run={number}")
         flag = known.select(F.col("ord").alias("__k"), F.lit(True).alias("known"))
         return batch.join(flag, F.col("cand_id") == F.col("__k"), "left").drop("__k").withColumn("known", F.coalesce("known", F.lit(False)))
@@ -319,3 +327,4 @@ class HistoryForest:
         e = self._read("entries").dropDuplicates(["tree", "wid"])
         sorted_run(e).write.mode("overwrite").parquet(f"{self.folder}/merged/entries/run={number}")
         self._read("works").write.mode("overwrite").parquet(f"{self.folder}/merged/works/run={number}")
+        self._read("wordings").dropDuplicates(["wid"]).write.mode("overwrite").parquet(f"{self.folder}/merged/wordings/run={number}")
