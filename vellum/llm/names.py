@@ -42,7 +42,7 @@ deborah deb debbie debby
 dmitri dima mitya
 edward ed eddie ned ted teddy
 elena lena
-elizabeth liz beth betty eliza lizzie libby bess
+elizabeth liz beth betty betsy eliza lizzie libby bess lisa
 felix fee
 francesca fran frankie cesca
 frederick fred freddie fritz
@@ -52,15 +52,21 @@ gregory greg gregg
 helena nell lena2
 henry hank harry hal
 hugo hugh
+isabella isabel bella izzy
+ivan vanya
 james jim jimmy jamie
 jennifer jen jenny
 john jack johnny
 jonathan jon jonny nathan
 joseph joe joey
 judith judy jude
-margaret maggie peggy meg greta
+leonard len lenny leo
+louisa louise lou lulu
+margaret maggie peggy meg greta madge
+matthias matt matty
+matthew mat
 michael mike mick mickey
-nicholas nick nico
+nicholas nick nico nicky
 oliver ollie noll
 patricia pat patty trish tricia
 philip phil pip
@@ -160,8 +166,11 @@ def given_names(spellings: DataFrame) -> frozenset[str]:
 
 def nearest_given(first: str, given: frozenset[str]) -> str:
     """The known given name that `first` is a slip of, else itself."""
-    if len(first) < 4 or first in given:
+    if len(first) < 3 or first in given:
         return first
+    if len(first) == 3:  # one letter left out of a name of four
+        near = {FORMAL.get(x, x) for i in range(4) for c in "abcdefghijklmnopqrstuvwxyz" if (x := first[:i] + c + first[i:]) in given}
+        return next(iter(near)) if len(near) == 1 else first
     near = {FORMAL.get(first[:i] + c + first[i + 1 :], first[:i] + c + first[i + 1 :]) for i in range(len(first)) for c in ("", *"abcdefghijklmnopqrstuvwxyz") if first[:i] + c + first[i + 1 :] in given}
     near |= {FORMAL.get(x, x) for i in range(len(first) + 1) for c in "abcdefghijklmnopqrstuvwxyz" if (x := first[:i] + c + first[i:]) in given}
     near |= {FORMAL.get(x, x) for i in range(len(first) - 1) if (x := first[:i] + first[i + 1] + first[i] + first[i + 2 :]) in given}
@@ -177,7 +186,7 @@ def parse_venue(name: str) -> list[str]:
     words = re.findall(r"[^\W_]+", fold(s))
     if words[:1] == ["the"]:
         words = words[1:]
-    kept = [w for w in words if w not in VENUE_FUNCTION]
+    kept = [{"mt": "mountain", "mtn": "mountain"}.get(w, w) for w in words if w not in VENUE_FUNCTION]
     return [*(kept or words), "".join(words)]
 
 
@@ -203,6 +212,8 @@ def venue_keys(profile: dict) -> set[str]:
             out.add(words[0])  # perhaps an acronym
         letters = "".join(w[0] for w in words)
         out |= _one_less(letters) if len(words) > 1 else {words[0]}
+    for *_, flat in profile["n"]:
+        out |= {flat} | ({"<" + flat[4:14], ">" + flat[-14:-4]} if len(flat) > 18 else set())
     return out
 
 
