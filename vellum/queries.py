@@ -315,13 +315,13 @@ def graph_shortest_path(spark, d):
 
 
 def _supply(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 49")
+    li = table(spark, d, "lineitem")
     a = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     b = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     return li.select(a.alias("src"), b.alias("dst"), F.lit("SUPPLIES").alias("type"), F.lit(1.0).alias("confidence")).unionByName(li.select(b.alias("src"), a.alias("dst"), F.lit("SUPPLIED_BY").alias("type"), F.lit(1.0).alias("confidence")))
 
 
-_SUPPLY = "e as (select distinct 's' || l_suppkey src, 'p' || l_partkey dst from lineitem where l_quantity >= 49 union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem where l_quantity >= 49)"
+_SUPPLY = "e as (select distinct 's' || l_suppkey src, 'p' || l_partkey dst from lineitem union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem)"
 
 
 @query("graph_recommend", f"with {_SUPPLY}, d as (select dst via from e where src = 's1') select b.dst as id, count(*) as score from d join e b on b.src = d.via where b.dst <> 's1' and b.dst not in (select via from d) group by 1 order by score desc, id limit 10")
@@ -329,9 +329,9 @@ def graph_recommend(spark, d):
     return graph.recommend(_supply(spark, d), "s1")
 
 
-@query("graph_common_neighbours", f"with {_SUPPLY}, t as (select a.src, b.dst, count(*) as score from e a join e b on a.dst = b.src where a.src <> b.dst group by 1, 2) select t.* from t left join e on e.src = t.src and e.dst = t.dst where e.src is null")
+@query("graph_common_neighbours", f"with {_EDGES}, t as (select a.src, b.dst, count(*) as score from (select distinct src, dst from edges) a join (select distinct src, dst from edges) b on a.dst = b.src where a.src <> b.dst group by 1, 2) select t.* from t left join edges e on e.src = t.src and e.dst = t.dst where e.src is null")
 def graph_common_neighbours(spark, d):
-    return graph.common_neighbours(_supply(spark, d))
+    return graph.common_neighbours(_tpc_graph(spark, d)[1])
 
 
 @query("graph_edge_collapse", "select 's' || l_suppkey as src, 'p' || l_partkey as dst, 'SUPPLIES' as type, cast(max(l_quantity) as double) as confidence from lineitem group by 1, 2")
@@ -340,9 +340,9 @@ def graph_edge_collapse(spark, d):
     return graph.collapsed(li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("SUPPLIES").alias("type"), F.col("l_quantity").cast("double").alias("confidence")))
 
 
-@query("graph_valid_edges", "select l_orderkey, count(*) as n from lineitem where l_suppkey in (select s_suppkey from supplier) and l_partkey in (select p_partkey from part where p_size <= 25) group by 1")
+@query("graph_valid_edges", "select l_orderkey, count(*) as n from lineitem where l_suppkey in (select s_suppkey from supplier) and l_partkey in (select p_partkey from part) group by 1")
 def graph_valid_edges(spark, d):
-    nodes = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id")).unionByName(table(spark, d, "part").where("p_size <= 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id")))
+    nodes = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id")).unionByName(table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id")))
     e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), "l_orderkey")
     return graph.valid_edges(nodes, e).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
