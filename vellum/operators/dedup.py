@@ -47,22 +47,44 @@ def duplicate_reasons(new: DataFrame, history: DataFrame, key: str) -> DataFrame
 def near_titles(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
     """(a_id, b_id, similarity) of titles with title_similarity of at least `least`.
 
-    Lossless blocking by prefix filter: with the character pairs of each title in one global order, rarest first, two titles
-    that share the needed part of their pairs share one among the first few. Titles under 20 characters compare by
-    single characters and so meet on all of them. Titles that hold each other meet through their rarest four-character piece.
-    Inputs: id, title (normalised, not empty).
+    Lossless blocking. Overlap: with the pieces of each title in one global order, rarest first, two titles that share
+    the needed part of them share one among the first few of either; pieces are character pairs, or single characters where one
+    of the two titles is under 20 characters. Containment: the rarest four-character piece of the shorter title is in
+    the longer one; titles under four characters count as held by equality only. Inputs: id, title (normalised, not empty).
     """
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        g = df.select(F.col("id").alias(name), F.col("title").alias(f"{name}_title"), F.explode(T.shingles(F.col("title"), 2)).alias("g"))
-        return g.where("g <> ''")
-
-    x, y = grams(a, "a"), grams(b, "b")
-    df_ = x.select("g").unionByName(y.select("g")).groupBy("g").count()
-    def prefix(gr: DataFrame, name: str) -> DataFrame:
-        ranked = gr.join(df_, "g").groupBy(name, f"{name}_title").agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("all"))
-        n = F.size("all")
-        keep = F.when(F.length(f"{name}_title") < 20, n).otherwise(n - F.ceil(F.lit(least) * n) + 1).cast("int")
-        return ranked.select(name, f"{name}_title", F.explode(F.transform(F.slice("all", 1, keep), lambda s: s["g"])).alias("g"))
-
-    met = prefix(x, "a").join(prefix(y, "b"), "g").select("a", "a_title", "b", "b_title").distinct()
-    return met.withColumn("similarity", T.title_similarity(F.col("a_title"), F.col("b_title"))).where(F.col("similarity") >= least).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "similarity")
+    x = a.select(F.col("id").alias("a"), F.col("title").alias("t"))
+    y = b.select(F.col("id").alias("b"), F.col("title").alias("t"))
+    short = F.length("t") < 20
+
+    def pieces(df: DataFrame, key: str, n: int) -> DataFrame:
+        return df.select(key, F.explode(T.shingles(F.col("t"), n)).alias("g")).where(F.length("g") == n)
+
+    def counts(n: int) -> DataFrame:
+        return pieces(x, "a", n).select("g").unionByName(pieces(y, "b", n).select("g")).groupBy("g").count()
+
+    def ranked(df: DataFrame, key: str, n: int, order: DataFrame) -> DataFrame:
+        return pieces(df, key, n).join(order, "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("all"))
+
+    def first_few(df: DataFrame, key: str, n: int, order: DataFrame) -> DataFrame:
+        size = F.size("all")
+        return ranked(df, key, n, order).select(key, F.explode(F.slice("all", F.lit(1), (size - F.ceil(F.lit(least) * size) + 1).cast("int"))).alias("p")).select(key, "p.g")
+
+    two, one, four = counts(2), counts(1), counts(4)
+    met = first_few(x.where(~short), "a", 2, two).join(first_few(y.where(~short), "b", 2, two), "g").select("a", "b")
+    met = met.unionByName(first_few(x.where(short), "a", 1, one).join(first_few(y, "b", 1, one), "g").select("a", "b"))
+    met = met.unionByName(first_few(x.where(~short), "a", 1, one).join(first_few(y.where(short), "b", 1, one), "g").select("a", "b"))
+    rarest = lambda df, key: ranked(df, key, 4, four).select(key, F.col("all")[0]["g"].alias("g"))
+    met = met.unionByName(rarest(x, "a").join(pieces(y, "b", 4), "g").select("a", "b")).unionByName(rarest(y, "b").join(pieces(x, "a", 4), "g").select("a", "b"))
+    # every title's pieces once, not once a pair; pairs whose sizes rule the overlap out go first
+    def sides(df: DataFrame, key: str, p: str) -> DataFrame:
+        return df.select(key, F.col("t").alias(f"{p}t"), T.shingles(F.col("t"), 1).alias(f"{p}1"), T.shingles(F.col("t"), 2).alias(f"{p}2"))
+
+    full = met.distinct().join(sides(x, "a", "x"), "a").join(sides(y, "b", "y"), "b")
+    brief = F.least(F.length("xt"), F.length("yt")) < 20
+    full = full.select("a", "b", "xt", "yt", F.when(brief, F.col("x1")).otherwise(F.col("x2")).alias("p"), F.when(brief, F.col("y1")).otherwise(F.col("y2")).alias("q"))
+    held = F.contains(F.col("xt"), F.col("yt")) | F.contains(F.col("yt"), F.col("xt"))
+    full = full.withColumn("held", held).where(F.col("held") | (F.least(F.size("p"), F.size("q")) >= least * F.greatest(F.size("p"), F.size("q"))))
+    both = F.size(F.array_intersect("p", "q"))
+    j = both / (F.size("p") + F.size("q") - both)
+    score = F.when(F.col("xt") == F.col("yt"), F.lit(1.0)).when(F.col("held"), F.greatest(j, F.lit(0.92))).otherwise(j)
+    return full.withColumn("similarity", score).where(F.col("similarity") >= least).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "similarity")
