@@ -127,6 +127,17 @@ def test_forest_takes_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "merged/works")).count() >= 8
 
 
+def test_a_partner_at_a_long_prefix_does_not_end_the_search(spark):
+    # wording 1 meets 2 by a prefix of 6 and 3 by a prefix of 4 only; 3 came first
+    titles_ = [(1, "soil loss karo basin radar images", 5), (2, "soil loss karo basin radar image", 7), (3, "soil loss karo basn radar images", 0)]
+    wordings = spark.createDataFrame([(w, t, False, f) for w, t, f in titles_], "wid long, base string, short boolean, first long")
+    keys = {1: "aabbccddeeff", 2: "aabbccddeeff", 3: "aabbccdd0000"}
+    entries = spark.createDataFrame([(w, 0, 0, k) for w, k in keys.items()], "wid long, marks long, tree int, key string")
+    pairs = lambda **k: {(r["wid"], r["other"]) for r in history.near_pairs(entries.where("wid = 1"), entries, wordings, **k).collect()}
+    assert pairs() == {(1, 2), (1, 3)}
+    assert pairs(earlier=True) == {(1, 3)}
+
+
 # 3. linkage
 
 

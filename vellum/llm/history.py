@@ -3,8 +3,8 @@
 Identifiers and exact titles are settled by grouping. Near titles go through a prefix-tree hash forest: a
 title's weighted min-hash values, in several permutations, are written as strings; sorted by them, titles that begin
 alike in some tree are likely alike. A run of entries is kept sorted and persisted; the entries of a batch are
-located by ranges of equal prefixes, first long ones, then, for what is still without a match, shorter ones, down to
-the length at which the forest's depth and number of trees give the recall aimed at. Candidates are verified on
+located by ranges of equal prefixes, first long ones, then, for what is not yet settled by an earlier entry, shorter ones, down
+to the length at which the forest's depth and number of trees give the recall aimed at. Candidates are verified on
 the titles themselves. Runs of later batches are merged into one; the history is never hashed again.
 
 Titles enter the forest once per distinct wording, so copies and re-deliveries, however many, meet nobody there.
@@ -28,7 +28,7 @@ from vellum.runtime import cut
 #: Trees over the words weighted by rarity, trees over the common words alone, and the depth of either.
 RARE_TREES, COMMON_TREES, RARE_DEPTH, COMMON_DEPTH = 16, 8, 6, 10
 TREES = RARE_TREES + COMMON_TREES
-#: (kind of tree, prefix length) tried one after the other for what is still without a match. Weighted by rarity, the name of
+#: (kind of tree, prefix length) tried one after the other for what no earlier entry settles yet. Weighted by rarity, the name of
 #: a place outweighs the rest of a title: two wordings of one work that agree in 0.6 of the weight share a prefix of 4 in one of
 #: the 16 trees with probability 0.89, at 0.7 with 0.99. Where the name itself is mistyped the common words agree: at 0.9 of them,
 #: a prefix of 10 is shared in one of the 8 trees with probability 0.97.
@@ -213,16 +213,18 @@ def sorted_run(entries: DataFrame) -> DataFrame:
     return entries.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key")
 
 
-def near_pairs(batch: DataFrame, run: DataFrame, wordings: DataFrame) -> DataFrame:
+def near_pairs(batch: DataFrame, run: DataFrame, wordings: DataFrame, earlier: bool = False) -> DataFrame:
     """(wid, other) of entries of `batch` and entries of `run` with equal marks that name the same work.
 
-    `wordings` (wid, base, short, ...) has the titles of both; only pairs that met fetch them.
+    `wordings` (wid, base, short, first) has the titles of both; only pairs that met fetch them. `earlier`: the caller asks only
+    whether a wording has a partner of a lesser `first`, so the search for it ends there; else every round is run for all.
     """
     found = None
     pending = batch
-    own = wordings.select("wid", "base", "short")
-    others = wordings.select(F.col("wid").alias("other"), F.col("base").alias("other_base"), F.col("short").alias("other_short"))
-    for kind, width in ROUNDS:
+    own = wordings.select("wid", "base", "short", "first")
+    others = wordings.select(F.col("wid").alias("other"), F.col("base").alias("other_base"), F.col("short").alias("other_short"), F.col("first").alias("other_first"))
+    # without a stop, the shortest prefix of a kind finds what the longer ones do
+    for kind, width in ROUNDS if earlier else dict(ROUNDS).items():
         trees = F.col("tree") < RARE_TREES if kind == "rare" else F.col("tree") >= RARE_TREES
         # one number for tree, prefix and marks
         cell = F.xxhash64("tree", F.substring("key", 1, 2 * width), "marks")
@@ -233,9 +235,12 @@ def near_pairs(batch: DataFrame, run: DataFrame, wordings: DataFrame) -> DataFra
         # a comparison in the JVM before the exact one: slips, or one title begins the other
         m = F.least(F.length("base"), F.length("other_base"))
         loose = (F.levenshtein("base", "other_base", 16) >= 0) | (F.levenshtein(F.substring(F.col("base"), F.lit(1), m), F.substring(F.col("other_base"), F.lit(1), m), 6) >= 0)
+        if earlier:
+            met = met.where("other_first < first")
         pairs = cut(met.where(loose).where(same_work(F.col("base"), F.col("other_base"), F.col("short") | F.col("other_short"))).select("wid", "other"))
         found = pairs if found is None else found.unionByName(pairs).distinct()
-        pending = pending.join(pairs.select("wid").distinct(), "wid", "left_anti")
+        if earlier:
+            pending = pending.join(pairs.select("wid").distinct(), "wid", "left_anti")
     return found
 
 
@@ -251,9 +256,10 @@ def known_rows(works: DataFrame) -> DataFrame:
     wordings = cut(wordings_of(works))
     weights = works.sparkSession.sparkContext.broadcast(feature_weights(wordings))
     run = cut(forest_entries(wordings, weights))
-    pairs = near_pairs(run, run, wordings)
-    both = pairs.unionByName(pairs.select(F.col("other").alias("wid"), F.col("wid").alias("other")))
-    earliest = both.join(wordings.select(F.col("wid").alias("other"), "first"), "other").groupBy("wid").agg(F.min("first").alias("near"))
+    # the wordings of the history need no partner
+    fresh = wordings.where("first > 0").select("wid")
+    pairs = near_pairs(run.join(fresh, "wid", "left_semi"), run, wordings, earlier=True)
+    earliest = pairs.join(wordings.select(F.col("wid").alias("other"), "first"), "other").groupBy("wid").agg(F.min("first").alias("near"))
     titled = works.where("base <> '' and not generic and ord > 0").withColumn("wid", F.xxhash64("base", "marks")).select("ord", "wid")
     titled = titled.join(wordings.select("wid", "first"), "wid").join(earliest, "wid", "left")
     by_title = titled.where("first < ord or near < ord").select("ord")
@@ -307,7 +313,9 @@ class HistoryForest:
         old_entries = self._read("entries")
         every = old_entries.unionByName(own_entries.select(old_entries.columns)).dropDuplicates(["tree", "wid"])
         old_wordings = self._read("wordings")
-        pairs = near_pairs(own_entries, every, old_wordings.unionByName(own_wordings.select(old_wordings.columns)).dropDuplicates(["wid"]))
+        known_before = old_wordings.withColumn("first", F.lit(0).cast("long"))
+        wordings = known_before.unionByName(own_wordings.select(old_wordings.columns)).groupBy("wid", "base").agg(F.min("first").alias("first"), F.max("short").alias("short"))
+        pairs = near_pairs(own_entries, every, wordings, earlier=True)
         firsts = own_wordings.select(F.col("wid").alias("other"), F.col("first").alias("f"))
         firsts = old_wordings.select(F.col("wid").alias("other"), F.lit(0).cast("long").alias("f")).unionByName(firsts).groupBy("other").agg(F.min("f").alias("f"))
         near = pairs.join(firsts, "other").groupBy("wid").agg(F.min("f").alias("near"))

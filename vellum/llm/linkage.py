@@ -149,7 +149,7 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     lw, rw = cut(_wordings(lhs)), cut(_wordings(rhs))
     weights = spark.sparkContext.broadcast(history.feature_weights(lw.unionByName(rw).dropDuplicates(["wid"])))
     le, re_ = cut(history.forest_entries(lw, weights)), cut(history.forest_entries(rw, weights))
-    both = lw.unionByName(rw).groupBy("wid", "base").agg(F.max("short").alias("short"))
+    both = lw.unionByName(rw).groupBy("wid", "base").agg(F.max("short").alias("short"), F.min("first").alias("first"))
     near = history.near_pairs(re_, le, both).select(F.col("other").alias("lw"), F.col("wid").alias("rw"))
     same = lw.select(F.col("wid").alias("lw")).join(rw.select(F.col("wid").alias("rw")), F.col("lw") == F.col("rw"))
     wordings = near.unionByName(same).distinct()
