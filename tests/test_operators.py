@@ -1,5 +1,7 @@
 """Operators on small tables with known answers, and with nothing in them."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from vellum.operators import dedup, graph, links, quality, scoring, sections, similarity, stats
@@ -110,6 +112,18 @@ def test_tfidf_nearest(spark):
     assert [(x["text_id"], x["other"]) for x in similarity.nearest(l.where("text is not null"), r).collect()] == [("1", "5")]
 
 
+def test_tfidf_weights_count_all_documents(spark, tmp_path):
+    from vellum.queries import QUERIES
+
+    docs = [(20, "gully snow")] + [(i, "snow") for i in range(1, 20)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", "gully", "", ""), ("b", "snow", "", "")], "direction_id string, name string, topic_area string, search_query string").write.parquet(f"{tmp_path}/research_directions.parquet")
+    got = QUERIES["tfidf_nearest_direction"](spark, str(tmp_path)).collect()
+    idf = lambda df: math.log(23 / (df + 1)) + 1  # noqa: E731  22 texts
+    gully, snow = idf(2), idf(21)
+    assert [r["text_id"] for r in got] == ["20"] and abs(got[0]["score"] - gully / math.hypot(gully, snow)) < 1e-5
+
+
 def test_sequence_and_backfill(spark):
     old = spark.createDataFrame([("KB-2024-01-02-07",)], "id string")
     new = spark.createDataFrame([("2024-01-02", 1), ("2024-01-02", 2), ("2024-01-03", 1)], "date string, ord int")

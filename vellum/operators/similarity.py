@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import tokens
@@ -23,16 +23,17 @@ def weights(texts: DataFrame) -> DataFrame:
     return tc.join(df_, "token").crossJoin(F.broadcast(n)).select("text_id", "token", (F.col("tf") / F.col("max_tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))  # n: one row
 
 
-def nearest(left: DataFrame, right: DataFrame, least: float = 0.03, most_df_share: float = 1.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, least: float = 0.03, most_df_share: float = 1.0, asked: Column | None = None) -> DataFrame:
     """(text_id, other, score): the most similar other text of each left text, ties by the least id, none under `least`.
 
-    Weights count both sides. The sums run over shared tokens only; AQE splits the partitions of frequent tokens.
+    Weights count both sides whole; `asked`, a condition on the left text_id, limits only which left texts are answered. The sums run over shared tokens only; AQE splits the partitions of frequent tokens.
     """
     both = left.select(F.concat(F.lit("l"), F.col("text_id").cast("string")).alias("text_id"), "text").unionByName(right.select(F.concat(F.lit("r"), F.col("text_id").cast("string")).alias("text_id"), "text"))
     w = weights(both)
     norm = w.groupBy("text_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     w = w.join(norm, "text_id").select("text_id", "token", (F.col("w") / F.col("norm")).alias("w"))
     a = w.where("text_id like 'l%'").select(F.expr("substring(text_id, 2)").alias("text_id"), "token", F.col("w").alias("wa"))
+    a = a if asked is None else a.where(asked)
     b = w.where("text_id like 'r%'").select(F.expr("substring(text_id, 2)").alias("other"), "token", F.col("w").alias("wb"))
     s = a.join(b, "token").where("text_id <> other").groupBy("text_id", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") > least)
     best = s.groupBy("text_id").agg(F.max_by(F.struct("other", "score"), F.struct(F.round("score", 9), F.expr("-cast(other as bigint)"))).alias("b"))

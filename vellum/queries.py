@@ -384,9 +384,10 @@ def export_canvas(spark, d):
 
 @query("tfidf_nearest_direction")
 def tfidf_nearest_direction(spark, d):
-    left = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("text_id"), "text")
+    # a stated query set: every document whose id is divisible by 20; the weights count all documents
+    left = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("text_id"), "text")
     right = table(spark, d, "research_directions").select(F.abs(F.xxhash64("direction_id")).alias("text_id"), F.concat_ws(" ", "name", "topic_area", "search_query").alias("text"))
-    return similarity.nearest(left, right).select("text_id", "other", F.round("score", 6).alias("score"))
+    return similarity.nearest(left, right, asked=F.col("text_id").cast("long") % 20 == 0).select("text_id", "other", F.round("score", 6).alias("score"))
 
 
 @query("embedding_nearest", "with q as (select vec_id query, embedding qe from embeddings where vec_id % 20 = 0), s as (select query, vec_id as other, list_cosine_similarity(cast(qe as double[]), cast(embedding as double[])) as score from q, embeddings where query <> vec_id) select query, other from (select *, row_number() over (partition by query order by score desc, other) r from s) where r <= 5")
