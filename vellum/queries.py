@@ -101,6 +101,12 @@ def seen_normalized_titles(spark, d):
     return table(spark, d, "seen_papers").where("title rlike '^[\\\\x20-\\\\x7e]*$'").select("paper_id", T.normalized_title(F.col("title")).alias("norm_title"))
 
 
+@query("seen_normalized_titles_whole")
+def seen_normalized_titles_whole(spark, d):
+    # every title; the SQL of seen_normalized_titles speaks of printable ASCII only
+    return table(spark, d, "seen_papers").select("paper_id", T.normalized_title(F.col("title")).alias("norm_title"))
+
+
 @query("doc_paths_redacted")
 def doc_paths_redacted(spark, d):
     t = table(spark, d, "documents").where("text is not null")
