@@ -197,11 +197,16 @@ def cand_duplicate_reason(spark, d):
     return dedup.duplicate_reasons(table(spark, d, "candidates").withColumn("title", none), table(spark, d, "seen_papers").withColumn("title", none), "cand_id")
 
 
+@query("cand_duplicate_reason_whole")
+def cand_duplicate_reason_whole(spark, d):
+    # with equal normalised titles, which the SQL of cand_duplicate_reason does not test; near ones are in cand_near_titles
+    return dedup.duplicate_reasons(table(spark, d, "candidates"), table(spark, d, "seen_papers"), "cand_id")
+
+
 @query("cand_near_titles")
 def cand_near_titles(spark, d):
-    # a stated query set: every candidate whose id is divisible by 20, against the whole history
     n = lambda df, i: df.select(F.col(i).alias("id"), T.normalized_title(F.col("title")).alias("title")).where("title <> ''")
-    return dedup.near_titles(n(table(spark, d, "candidates").where("cand_id % 20 = 0"), "cand_id"), n(table(spark, d, "seen_papers"), "paper_id"))
+    return dedup.near_titles(n(table(spark, d, "candidates"), "cand_id"), n(table(spark, d, "seen_papers"), "paper_id"))
 
 
 @query("papers_merged", "select distinct id, title from papers")
