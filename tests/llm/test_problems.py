@@ -119,25 +119,78 @@ def test_forest_takes_batches(spark, tmp_path):
     cands = spark.createDataFrame(CANDS, "cand_id long, paper_id string, title string, doi string, arxiv_id string")
     f = history.HistoryForest(spark, str(tmp_path))
     f.start(seen)
-    first = {r["cand_id"]: r["known"] for r in f.accept(cands.where("cand_id <= 5"), 1).collect()}
+    first = {r["cand_id"]: r["known"] for r in f.accept(cands.where("cand_id <= 5")).collect()}
     assert first == {1: True, 2: False, 3: False, 4: True, 5: False}
-    second = {r["cand_id"]: r["known"] for r in f.accept(cands.where("cand_id > 5"), 2).collect()}
-    assert second == {6: False, 7: True, 8: False, 9: False}
-    f.merge(3)
-    assert spark.read.parquet(str(tmp_path / "merged/works")).count() >= 8
+    second = {r["cand_id"]: r["known"] for r in f.accept(cands.where("cand_id in (6, 7)")).collect()}
+    assert second == {6: False, 7: True}
+    assert len(f.forest.entries.live()) == 3
+    f.merge()
+    assert [len(x.live()) for x in (f.forest.entries, f.forest.wordings, f.ids)] == [1, 1, 1]
+    # readers see the merged run
+    third = {r["cand_id"]: r["known"] for r in f.accept(cands.where("cand_id in (8, 9)")).collect()}
+    assert third == {8: False, 9: True}
+    again = cands.select((F.col("cand_id") + 100).alias("cand_id"), "paper_id", "title", "doi", "arxiv_id")
+    assert sorted(r["cand_id"] for r in f.accept(again).where("known").collect()) == [101, 102, 103, 104, 105, 106, 107, 109]
+
+
+def test_batches_and_all_at_once_agree(spark, tmp_path):
+    rng = random.Random(11)
+    places = ["Karo", "Velo", "Pelotari", "Dunesi", "Vimapoltor"]
+    title = lambda: f"{rng.choice(['Soil loss', 'Snow cover', 'Gully growth'])} in the {rng.choice(places)} {rng.choice(['Basin', 'Hills'])} from {rng.choice(['radar images', 'drone surveys', 'old maps'])}"
+    slip = lambda t: t[: (k := rng.randrange(len(t)))] + t[k + 1 :]
+    seen = [(f"s{i}", title(), f"10.5555/a.{i}" if i % 3 else None, None) for i in range(40)]
+    cands = [(i, f"c{i}", slip(title()) if i % 2 else title(), f"10.5555/a.{i}" if i % 5 == 0 else None, None) for i in range(1, 61)]
+    s = spark.createDataFrame(seen, "paper_id string, title string, doi string, arxiv_id string")
+    c = spark.createDataFrame(cands, "cand_id long, paper_id string, title string, doi string, arxiv_id string")
+    f = history.HistoryForest(spark, str(tmp_path))
+    f.start(s)
+    step = {r["ord"] for k in range(0, 60, 20) for r in f.known(c.where(F.col("cand_id").between(k + 1, k + 20))).collect()}
+    assert step == {r["cand_id"] for r in history.known_candidates(s, c).collect()}
+    # brute force over every pair of titles
+    rows = [(0, x[1]) for x in seen] + [(x[0], x[2]) for x in cands]
+    parts = [(o, *titles.parse(t)) for o, t in rows]
+    brute = {o for o, b, m, g, sh in parts if o and any(p < o and m == n and titles.same_base(b, q, sh or sh2) for p, q, n, _, sh2 in parts)}
+    assert len(brute - step) <= len(brute) // 100 and brute
 
 
-def test_a_partner_at_a_long_prefix_does_not_end_the_search(spark):
+def test_a_partner_at_a_long_prefix_does_not_end_the_search(spark, tmp_path):
     # wording 1 meets 2 by a prefix of 6 and 3 by a prefix of 4 only; 3 came first
-    titles_ = [(1, "soil loss karo basin radar images", 5), (2, "soil loss karo basin radar image", 7), (3, "soil loss karo basn radar images", 0)]
-    wordings = spark.createDataFrame([(w, t, False, f) for w, t, f in titles_], "wid long, base string, short boolean, first long")
-    keys = {1: "aabbccddeeff", 2: "aabbccddeeff", 3: "aabbccdd0000"}
-    entries = spark.createDataFrame([(w, 0, 0, k) for w, k in keys.items()], "wid long, marks long, tree int, key string")
-    pairs = lambda **k: {(r["wid"], r["other"]) for r in history.near_pairs(entries.where("wid = 1"), entries, wordings, **k).collect()}
+    names = [(1, "soil loss karo basin radar images", 5), (2, "soil loss karo basin radar image", 7), (3, "soil loss karo basn radar images", 0)]
+    keys = {1: 0xAABBCCDDEEFF, 2: 0xAABBCCDDEEFF, 3: 0xAABBCCDD0000}
+    signed = spark.createDataFrame([(w, t, 0, False, f, [keys[w]]) for w, t, f in names], "wid long, base string, marks long, short boolean, first long, slots array<long>")
+    f = history.Forest(spark, str(tmp_path))
+    f.add(signed)
+    pairs = lambda **k: {(r["wid"], r["other"]) for r in f.near(signed.where("wid = 1"), **k).collect()}
     assert pairs() == {(1, 2), (1, 3)}
     assert pairs(earlier=True) == {(1, 3)}
 
 
+def test_the_jvm_comparison_loses_no_pair(spark):
+    # one word of 21 letters left out
+    a, b = "estimating evapotranspirationals karo basin radar", "estimating karo basin radar"
+    rows = [(a, False, b, False), (b, False, a, False), ("soil loss karo basin radar images old", False, "soil loss karo basin radar images old maps compared", False)]
+    met = spark.createDataFrame(rows, "base string, short boolean, other_base string, other_short boolean")
+    assert history.alike(met).count() == sum(titles.same_base(x[0], x[2]) for x in rows) == 3
+
+
+def test_sorted_runs_find_what_a_scan_finds(spark, tmp_path):
+    from vellum.llm.runs import SortedRuns
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(200), i) for i in range(500)] + [(77, 1000 + i) for i in range(300)] + [(None, 9)]
+    runs = SortedRuns(spark, str(tmp_path), "k")
+    runs.add(spark.createDataFrame(rows[:400], "k long, v long"))
+    runs.add(spark.createDataFrame(rows[400:], "k long, v long"))
+    runs.add(spark.createDataFrame([], "k long, v long"))
+    asked = [(i, *sorted((rng.randrange(220), rng.randrange(220)))) for i in range(30)] + [(50, 77, 77), (51, None, 5), (52, 300, 400)]
+    q = spark.createDataFrame(asked, "q long, lo long, hi long")
+    found = lambda: sorted((r["q"], r["v"]) for r in runs.search(q, "lo", "hi", {"v": "v"}).collect())
+    want = sorted((i, v) for i, lo, hi in asked if lo is not None for k, v in rows if k is not None and lo <= k <= hi)
+    assert found() == want
+    runs.merge()
+    assert len(runs.live()) == 1 and found() == want
+
+
 # 3. linkage
 
 

@@ -1,11 +1,12 @@
 """New batches of search results against everything accepted before.
 
-Identifiers and exact titles are settled by grouping. Near titles go through a prefix-tree hash forest: a
-title's weighted min-hash values, in several permutations, are written as strings; sorted by them, titles that begin
-alike in some tree are likely alike. A run of entries is kept sorted and persisted; the entries of a batch are
-located by ranges of equal prefixes, first long ones, then, for what is not yet settled by an earlier entry, shorter ones, down
-to the length at which the forest's depth and number of trees give the recall aimed at. Candidates are verified on
-the titles themselves. Runs of later batches are merged into one; the history is never hashed again.
+Identifiers are settled by looking their values up. Near titles go through a prefix-tree hash forest: a title's weighted
+min-hash values, in several permutations, are packed into numbers; sorted by them, titles that begin alike in some tree lie
+together. The history is kept as runs of such numbers, sorted (`runs`). The entries of a batch are located in them by range
+search, first by long prefixes, then, for what no earlier entry settles yet, by shorter ones, down to the length at
+which the forest's depth and number of trees give the recall aimed at. Candidates are verified on the titles themselves. The
+entries of the batch become a run of their own, and runs are merged into one; the history is never hashed or read whole again,
+and its entries are never compared with each other.
 
 Titles enter the forest once per distinct wording, so copies and re-deliveries, however many, meet nobody there.
 
@@ -16,27 +17,35 @@ a row without identifiers and title is new.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm.runs import SortedRuns
 from vellum.llm.titles import same_work, title_parts
-from vellum.runtime import cut
+from vellum.runtime import cut, ensure_checkpoint_dir
 
 #: Trees over the words weighted by rarity, trees over the common words alone, and the depth of either.
 RARE_TREES, COMMON_TREES, RARE_DEPTH, COMMON_DEPTH = 16, 8, 6, 10
 TREES = RARE_TREES + COMMON_TREES
-#: (kind of tree, prefix length) tried one after the other for what no earlier entry settles yet. Weighted by rarity, the name of
-#: a place outweighs the rest of a title: two wordings of one work that agree in 0.6 of the weight share a prefix of 4 in one of
-#: the 16 trees with probability 0.89, at 0.7 with 0.99. Where the name itself is mistyped the common words agree: at 0.9 of them,
-#: a prefix of 10 is shared in one of the 8 trees with probability 0.97.
-ROUNDS = (("rare", 6), ("rare", 4), ("common", 10))
-#: Buckets of the frequency sketch that weighs the words: its size does not depend on the data.
-BUCKETS = 1 << 18
+#: Prefix lengths of the rare trees, tried one after the other for what no earlier entry settles yet; the trees of common words, of
+#: which the whole depth must agree, join in at the second. Weighted by rarity, the name of a place outweighs the rest of a
+#: title: two wordings of one work that agree in 0.6 of the weight share a prefix of 4 in one of the 16 trees with probability
+#: 0.89, at 0.7 with 0.99. Where the name itself is mistyped the common words agree: at 0.9 of them, a prefix of 10 is shared in
+#: one of the 8 trees with probability 0.97. A title that was cut short may keep 0.4 of the weight: a prefix of 2, 0.94.
+WIDTHS, CUT_WIDTH = (6, 4), 2
+#: Buckets of the frequency sketch that weighs the words: its size does not depend on the data. Words rarer than about one
+#: in BUCKETS weigh alike.
+BUCKETS = 1 << 20
 #: A word is usual if at least one title in so many has it.
 USUAL_SHARE = 2000
+#: Live runs from which the smaller ones are merged.
+FAN = 6
+#: `ord` of what was accepted before all batches.
+BEFORE = -(1 << 62)
 
 
 def clean_doi(c: Column) -> Column:
@@ -130,7 +139,7 @@ def feature_weights(entries: DataFrame) -> Weights:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype("int32")), pa.array(total[some])], names=["bucket", "n"])
 
     rows = entries.select("base").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, "int32")
+    out = np.zeros(BUCKETS, "int64")
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     least = max(4.0, float(out.max()) / USUAL_SHARE)
     words = entries.where("not base rlike '[㐀-鿿]'").select(F.explode(F.array_distinct(F.split("base", " "))).alias("w")).groupBy("w").count()
@@ -139,16 +148,17 @@ def feature_weights(entries: DataFrame) -> Weights:
 
 
 def signature(base: Column, weights) -> Column:
-    """TREES strings of two hexadecimal digits a level. `weights`: broadcast of the Weights."""
+    """TREES numbers: the tree, and below it 48 bits, of a rare tree one byte a level, of a common tree all levels mixed.
+    `weights`: broadcast of the Weights."""
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("array<long>")
     def sign(bases: pa.Array) -> pa.Array:
         import numpy as np
 
         texts = bases.to_pylist()
         n = len(texts)
         if not n:
-            return pa.array([], pa.list_(pa.string()))
+            return pa.array([], pa.list_(pa.int64()))
         w = weights.value
         h, starts = _hashes([t or "" for t in texts], w.usual)
         seen = w.counts
@@ -157,26 +167,25 @@ def signature(base: Column, weights) -> Column:
         rarity = np.log1p(total / (1 + df)) ** 2
         common = np.where(df >= max(4.0, total / USUAL_SHARE), 1.0, 1e-4)
         sizes = np.diff(starts)
-        levels = [(t, k) for t in range(TREES) for k in range(RARE_DEPTH if t < RARE_TREES else COMMON_DEPTH)]
-        out = np.empty((n, len(levels)), "uint8")
-        for c, (t, _) in enumerate(levels):
-            x = h * np.uint64((0x9E3779B97F4A7C15 * (2 * c + 1)) & 0xFFFFFFFFFFFFFFFF)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            race = -np.log(((x >> np.uint64(11)).astype("float64") + 1) / 9007199254740994.0) / (rarity if t < RARE_TREES else common)
-            best = np.minimum.reduceat(race, starts[:-1])
-            first = np.flatnonzero(race == np.repeat(best, sizes))
-            out[:, c] = (x[first[np.searchsorted(first, starts[:-1])]] >> np.uint64(56)).astype("uint8")
-        keys = [[""] * TREES for _ in range(n)]
-        at = 0
+        out = np.zeros((n, TREES), "uint64")
+        level = 0
         for t in range(TREES):
-            depth = RARE_DEPTH if t < RARE_TREES else COMMON_DEPTH
-            block = out[:, at : at + depth].tobytes().hex()
-            for i in range(n):
-                keys[i][t] = block[2 * depth * i : 2 * depth * (i + 1)]
-            at += depth
-        return pa.array(keys, pa.list_(pa.string()))
+            rare = t < RARE_TREES
+            for _ in range(RARE_DEPTH if rare else COMMON_DEPTH):
+                x = h * np.uint64((0x9E3779B97F4A7C15 * (2 * level + 1)) & 0xFFFFFFFFFFFFFFFF)
+                level += 1
+                x ^= x >> np.uint64(29)
+                x *= np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+                race = -np.log(((x >> np.uint64(11)).astype("float64") + 1) / 9007199254740994.0) / (rarity if rare else common)
+                best = np.minimum.reduceat(race, starts[:-1])
+                first = np.flatnonzero(race == np.repeat(best, sizes))
+                won = x[first[np.searchsorted(first, starts[:-1])]] >> np.uint64(56)
+                out[:, t] = (out[:, t] << np.uint64(8)) | won if rare else (out[:, t] ^ won) * np.uint64(0x100000001B3)
+            if not rare:
+                out[:, t] >>= np.uint64(16)
+            out[:, t] |= np.uint64(t << 48)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1, TREES), pa.int32()), pa.array(out.astype("int64").ravel()))
 
     return sign(base)
 
@@ -188,151 +197,195 @@ def works_of(rows: DataFrame) -> DataFrame:
     return out.select("ord", "paper_id", "doi", "arxiv_id", F.coalesce("__p.base", F.lit("")).alias("base"), F.coalesce("__p.marks", F.lit("")).alias("marks"), F.coalesce("__p.generic", F.lit(False)).alias("generic"), F.coalesce("__p.short", F.lit(False)).alias("short"))
 
 
-def identifier_matches(works: DataFrame) -> DataFrame:
-    """(ord) of the rows whose identifier an earlier row has. Grouping only: a value that a third of the rows share is one group."""
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("paper_id", "doi", "arxiv_id")))
-    ids = works.select("ord", "base", F.explode(kinds).alias("i")).select("ord", "base", "i.kind", "i.value").where("value is not null")
-    first = ids.groupBy("kind", "value").agg(F.min("ord").alias("first"), F.min_by("base", "ord").alias("first_base"), F.count("*").alias("n")).where("n > 1")
-    met = ids.join(first, ["kind", "value"])
-    unlike = F.levenshtein(F.substring("base", 1, 60), F.substring("first_base", 1, 60)) > 0.6 * F.greatest(F.least(F.length("base"), F.lit(60)), F.least(F.length("first_base"), F.lit(60)))
-    met = met.withColumn("unlike", (F.col("base") != "") & (F.col("first_base") != "") & unlike)
-    shares = met.groupBy("kind", "value").agg(F.avg(F.col("unlike").cast("double")).alias("share"))
-    real = met.where("ord > first").join(shares, ["kind", "value"]).where("kind = 'paper_id' or (share < 0.4 and not unlike)")
-    return real.select("ord").distinct()
-
-
-def forest_entries(wordings: DataFrame, weights) -> DataFrame:
-    """One row per tree and wording: wid, marks, tree, key. The titles themselves stay behind in `wordings`."""
-    spread = max(wordings.sparkSession.sparkContext.defaultParallelism, int(wordings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = wordings.select("wid", "base", "marks").repartition(spread, "wid").withColumn("__s", signature(F.col("base"), weights))
-    return signed.select("wid", F.xxhash64("marks").alias("marks"), F.posexplode("__s").alias("tree", "key"))
-
-
-def sorted_run(entries: DataFrame) -> DataFrame:
-    """Entries as a run: every file holds one range of (tree, key), sorted."""
-    return entries.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key")
+def wordings_of(works: DataFrame) -> DataFrame:
+    """Distinct wordings that name works: wid, base, marks, short, first (the least ord)."""
+    w = works.where("base <> '' and not generic").groupBy("base", "marks").agg(F.min("ord").alias("first"), F.max("short").alias("short"))
+    return w.select(F.xxhash64("base", "marks").alias("wid"), "base", F.xxhash64("marks").alias("marks"), "short", "first")
 
 
-def near_pairs(batch: DataFrame, run: DataFrame, wordings: DataFrame, earlier: bool = False) -> DataFrame:
-    """(wid, other) of entries of `batch` and entries of `run` with equal marks that name the same work.
+def alike(met: DataFrame) -> DataFrame:
+    """The rows of `met` (base, short, other_base, other_short, ...) whose two titles name the same work.
 
-    `wordings` (wid, base, short, first) has the titles of both; only pairs that met fetch them. `earlier`: the caller asks only
-    whether a wording has a partner of a lesser `first`, so the search for it ends there; else every round is run for all.
+    A comparison in the JVM goes before the exact one and loses none of its pairs: `same_base` takes at most four slips (eight
+    letters, where neighbours are exchanged) in the whole, or one word left out, or three slips in a common beginning.
     """
-    found = None
-    pending = batch
-    own = wordings.select("wid", "base", "short", "first")
-    others = wordings.select(F.col("wid").alias("other"), F.col("base").alias("other_base"), F.col("short").alias("other_short"), F.col("first").alias("other_first"))
-    # without a stop, the shortest prefix of a kind finds what the longer ones do
-    for kind, width in ROUNDS if earlier else dict(ROUNDS).items():
-        trees = F.col("tree") < RARE_TREES if kind == "rare" else F.col("tree") >= RARE_TREES
-        # one number for tree, prefix and marks
-        cell = F.xxhash64("tree", F.substring("key", 1, 2 * width), "marks")
-        a = pending.where(trees).select("wid", cell.alias("cell"))
-        b = run.where(trees).select(F.col("wid").alias("other"), cell.alias("cell"))
-        met = a.join(b, "cell").where("wid <> other").select("wid", "other").distinct()
-        met = met.join(own, "wid").join(others, "other")
-        # a comparison in the JVM before the exact one: slips, or one title begins the other
-        m = F.least(F.length("base"), F.length("other_base"))
-        loose = (F.levenshtein("base", "other_base", 16) >= 0) | (F.levenshtein(F.substring(F.col("base"), F.lit(1), m), F.substring(F.col("other_base"), F.lit(1), m), 6) >= 0)
-        if earlier:
-            met = met.where("other_first < first")
-        pairs = cut(met.where(loose).where(same_work(F.col("base"), F.col("other_base"), F.col("short") | F.col("other_short"))).select("wid", "other"))
-        found = pairs if found is None else found.unionByName(pairs).distinct()
-        if earlier:
-            pending = pending.join(pairs.select("wid").distinct(), "wid", "left_anti")
-    return found
+    a, b = F.translate("base", " ", ""), F.translate("other_base", " ", "")
+    m = F.least(F.length(a), F.length(b))
+    one_word = F.abs(F.size(F.split("base", " ")) - F.size(F.split("other_base", " "))) == 1
+    loose = one_word | (F.levenshtein(a, b, 8) >= 0) | (F.levenshtein(F.substring(a, F.lit(1), m), F.substring(b, F.lit(1), m), 6) >= 0)
+    return met.where(loose).where(same_work(F.col("base"), F.col("other_base"), F.col("short") | F.col("other_short")))
 
 
-def wordings_of(works: DataFrame) -> DataFrame:
-    """Distinct wordings that name works: wid, base, marks, short, first (the least ord)."""
-    w = works.where("base <> '' and not generic").groupBy("base", "marks").agg(F.min("ord").alias("first"), F.max("short").alias("short"))
-    return w.withColumn("wid", F.xxhash64("base", "marks"))
-
+def _least_first(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("wid", "base", "marks").agg(F.max("short").alias("short"), F.min("first").alias("first"))
 
-def known_rows(works: DataFrame) -> DataFrame:
-    """(ord) of the rows that describe a work an earlier row describes; ord 0 is the history."""
-    works = cut(works)
-    wordings = cut(wordings_of(works))
-    weights = works.sparkSession.sparkContext.broadcast(feature_weights(wordings))
-    run = cut(forest_entries(wordings, weights))
-    # the wordings of the history need no partner
-    fresh = wordings.where("first > 0").select("wid")
-    pairs = near_pairs(run.join(fresh, "wid", "left_semi"), run, wordings, earlier=True)
-    earliest = pairs.join(wordings.select(F.col("wid").alias("other"), "first"), "other").groupBy("wid").agg(F.min("first").alias("near"))
-    titled = works.where("base <> '' and not generic and ord > 0").withColumn("wid", F.xxhash64("base", "marks")).select("ord", "wid")
-    titled = titled.join(wordings.select("wid", "first"), "wid").join(earliest, "wid", "left")
-    by_title = titled.where("first < ord or near < ord").select("ord")
-    return identifier_matches(works).where("ord > 0").unionByName(by_title).distinct()
 
+class Forest:
+    """Wordings in sorted runs: their entries by tree and key, and the wordings themselves by their number."""
 
-def rows_of(seen: DataFrame, candidates: DataFrame) -> DataFrame:
-    h = seen.select(F.lit(0).cast("long").alias("ord"), "paper_id", "doi", "arxiv_id", "title")
-    c = candidates.select(F.col("cand_id").cast("long").alias("ord"), "paper_id", "doi", "arxiv_id", "title")
-    return h.unionByName(c)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.entries = SortedRuns(spark, f"{self.folder}/entries", "slot")
+        self.wordings = SortedRuns(spark, f"{self.folder}/wordings", "wid")
+        self._weights = None
 
+    def weights(self, wordings: DataFrame | None = None):
+        """The broadcast word weights: those of the first wordings, so later signatures stay comparable."""
+        import numpy as np
 
-def known_candidates(seen: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(cand_id) of the candidates that describe a work of the history or of an earlier candidate."""
-    return known_rows(works_of(rows_of(seen, candidates))).select(F.col("ord").alias("cand_id"))
+        if self._weights is None:
+            path = f"{self.folder}/weights"
+            if wordings is not None:
+                w = feature_weights(wordings)
+                self.spark.createDataFrame([(w.counts.tobytes(), w.usual_words)], "counts binary, usual array<string>").write.mode("overwrite").parquet(path)
+            else:
+                kept = self.spark.read.parquet(path).first()
+                w = Weights(np.frombuffer(kept["counts"], "int64"), list(kept["usual"]))
+            self._weights = self.spark.sparkContext.broadcast(w)
+        return self._weights
+
+    def signed(self, wordings: DataFrame, first_of_all: bool = False) -> DataFrame:
+        """`wordings` (wid, base, marks, short, first) with their slots, written to the shared folder."""
+        w = self.weights(wordings if first_of_all else None)
+        spread = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return cut(wordings.repartition(spread, "wid").withColumn("slots", signature(F.col("base"), w)))
+
+    def add(self, signed: DataFrame) -> None:
+        self.entries.add(signed.select("wid", "marks", F.explode("slots").alias("slot")))
+        self.wordings.add(signed.drop("slots"))
+
+    def merge(self, runs: tuple[list[str], list[str]] | None = None) -> None:
+        self.entries.merge(lambda e: e.dropDuplicates(["slot", "wid"]), runs[0] if runs else None)
+        self.wordings.merge(_least_first, runs[1] if runs else None)
+
+    def tidy(self) -> None:
+        """Where there are many runs, all but the first, which is the largest, become one."""
+        e, w = self.entries.live(), self.wordings.live()
+        if len(e) > FAN:
+            self.merge((e[1:], w[1:]))
+
+    def partners(self, asked: DataFrame, width: int, common: bool, earlier: bool) -> DataFrame:
+        """(wid, other, other_first): verified partners of `asked` (signed wordings) among all runs, met by a prefix of `width`
+        in a rare tree or, if `common`, in a tree of common words. `earlier`: only those of a lesser `first`."""
+        slot = asked.select("wid", "marks", "short", F.explode("slots").alias("slot"))
+        rare = F.col("slot") < F.lit(RARE_TREES << 48)
+        below = F.when(~rare, F.lit(0)).when(F.col("short"), F.lit((1 << 8 * (RARE_DEPTH - min(width, CUT_WIDTH))) - 1 if common else (1 << 8 * (RARE_DEPTH - width)) - 1)).otherwise(F.lit((1 << 8 * (RARE_DEPTH - width)) - 1)).cast("long")
+        ranges = (slot if common else slot.where(rare)).withColumn("below", below)
+        ranges = ranges.select("wid", "marks", F.col("slot").bitwiseAND(F.bitwise_not("below")).alias("lo"), F.col("slot").bitwiseOR(F.col("below")).alias("hi"))
+        ranges = ranges.repartitionByRange("lo").sortWithinPartitions("lo")
+        met = self.entries.search(ranges, "lo", "hi", {"wid": "other"}, ("marks", "marks")).where("wid <> other").select("wid", "other")
+        # one side of these joins grows with the batch: never left to a broadcast
+        met = met.repartition("wid").dropDuplicates(["wid", "other"]).hint("merge").join(asked.select("wid", "base", "short", "first"), "wid")
+        met = met.repartitionByRange("other").sortWithinPartitions("other").withColumn("hi", F.col("other"))
+        found = self.wordings.search(met, "other", "hi", {"wid": "other", "base": "other_base", "short": "other_short", "first": "other_first"})
+        if earlier:
+            found = found.where("other_first < first")
+        return cut(alike(found).groupBy("wid", "other").agg(F.min("other_first").alias("other_first")))
+
+    def near(self, signed: DataFrame, earlier: bool = False) -> DataFrame:
+        """(wid, other, other_first) of the wordings `signed` and their partners in the runs. `earlier`: it is only asked whether there
+        is a partner of a lesser `first`, so the search for a wording ends there; else the shortest prefix is used for all."""
+        if not earlier:
+            return self.partners(signed, WIDTHS[-1], True, False)
+        found, pending = None, signed
+        for k, width in enumerate(WIDTHS):
+            pairs = self.partners(pending, width, k == len(WIDTHS) - 1, True)
+            found = pairs if found is None else found.unionByName(pairs)
+            pending = pending.join(pairs.select("wid").distinct().hint("merge"), "wid", "left_anti")
+        return found
+
+
+def identifiers_of(works: DataFrame) -> DataFrame:
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("paper_id", "doi", "arxiv_id")))
+    return works.select("ord", "base", F.explode(kinds).alias("i")).where("i.value is not null").select("ord", "base", F.xxhash64("i.kind", "i.value").alias("vid"), "i.kind", "i.value")
 
 
 class HistoryForest:
-    """The persisted form: runs of sorted entries in a folder, and the identifiers beside them.
+    """The history in a folder: a forest of its titles, and what is known of each identifier.
 
-    `start` writes the first run; `accept` checks a batch against all runs and adds what is new as a run of its own; `merge`
-    rewrites the runs as one. The word weights are those of the first run, so later signatures stay comparable.
+    `start` takes the history in; `accept` checks a batch against all of it, says which of its rows are known, and takes the
+    batch in as a run of its own; `merge` makes one run of all. Batches are accepted in their order: a row is known if its
+    work is in the history, in an earlier batch, or in a row of the same batch with a lesser cand_id.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _read(self, kind: str) -> DataFrame:
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.folder}/{kind}")
+        self.forest = Forest(spark, f"{self.folder}/titles")
+        self.ids = SortedRuns(spark, f"{self.folder}/ids", "vid")
 
     def start(self, seen: DataFrame) -> None:
-        works = cut(works_of(seen.select(F.lit(0).cast("long").alias("ord"), "paper_id", "doi", "arxiv_id", "title")))
-        wordings = wordings_of(works)
-        weights = feature_weights(wordings)
-        self.spark.createDataFrame([(weights.counts.tolist(), weights.usual_words)], "counts array<int>, usual array<string>").write.mode("overwrite").parquet(f"{self.folder}/weights")
-        sorted_run(forest_entries(cut(wordings), self.spark.sparkContext.broadcast(weights))).write.mode("overwrite").parquet(f"{self.folder}/entries/run=0")
-        wordings.write.mode("overwrite").parquet(f"{self.folder}/wordings/run=0")
-        works.write.mode("overwrite").parquet(f"{self.folder}/works/run=0")
-
-    def accept(self, batch: DataFrame, number: int) -> DataFrame:
-        """`batch` (cand_id, paper_id, doi, arxiv_id, title) with the column known; its new rows become run `number` (from 1)."""
-        import numpy as np
+        works = cut(works_of(seen.select(F.lit(BEFORE).alias("ord"), "paper_id", "doi", "arxiv_id", "title")))
+        self.ids.add(self._identified(works, False)[0])
+        self.forest.add(self.forest.signed(cut(wordings_of(works)), first_of_all=True))
+
+    def _identified(self, works: DataFrame, old: bool) -> tuple[DataFrame, DataFrame]:
+        """(rows for a run of identifiers, ord of the rows that an earlier row's identifier makes known). Grouping and look-ups
+        only: a value that a third of the rows share is one group of partial counts."""
+        ids = identifiers_of(works)
+        own = ids.groupBy("vid", "kind", "value").agg(F.min("ord").alias("first"), F.min_by("base", F.struct("ord", "base")).alias("first_base"), F.count("*").alias("n"))
+        if old:
+            asked = cut(own.repartitionByRange("vid").sortWithinPartitions("vid"))
+            there = self.ids.search(asked.select("vid", "kind", "value", F.col("vid").alias("lo"), F.col("vid").alias("hi")), "lo", "hi", {"value": "v", "kind": "k", "first": "f", "first_base": "b", "n": "m", "unlike": "u"})
+            there = there.where("k = kind and v = value").groupBy("vid", "kind", "value").agg(F.min("f").alias("f"), F.min_by("b", F.struct("f", "b")).alias("b"), F.sum("m").alias("m"), F.sum("u").alias("u"))
+            own = asked.join(there.hint("merge"), ["vid", "kind", "value"], "left")
+        else:
+            own = own.withColumns({"f": F.lit(None).cast("long"), "b": F.lit(None).cast("string"), "m": F.lit(0).cast("long"), "u": F.lit(0).cast("long")})
+        # what came first in the history stays the first
+        own = own.withColumns({"first_base": F.when(F.col("f") <= F.col("first"), F.col("b")).otherwise(F.col("first_base")), "first": F.least("first", "f"), "m": F.coalesce("m", F.lit(0)), "u": F.coalesce("u", F.lit(0))})
+        met = ids.join(own.hint("merge"), ["vid", "kind", "value"])
+        far = F.levenshtein("base", "first_base") > 0.6 * F.greatest(F.length("base"), F.length("first_base"))
+        met = cut(met.select("ord", "vid", "kind", "value", "first", "first_base", "n", "m", "u", ((F.col("base") != "") & (F.col("first_base") != "") & far).alias("apart")))
+        totals = met.groupBy("vid", "kind", "value").agg(F.min("first").alias("first"), F.min("first_base").alias("first_base"), F.min("n").alias("n"), F.sum(F.col("apart").cast("long")).alias("unlike"), F.min("m").alias("m"), F.min("u").alias("u"))
+        # paper ids mean what they say; another identifier is a placeholder where unlike titles have it
+        real = met.where("ord > first").select("ord", "vid", "kind", "value", "apart").join(totals.select("vid", "kind", "value", ((F.col("unlike") + F.col("u")) / (F.col("n") + F.col("m"))).alias("share")).hint("merge"), ["vid", "kind", "value"])
+        known = real.where("kind = 'paper_id' or (share < 0.4 and not apart)").select("ord").distinct()
+        return totals.drop("m", "u"), known
+
+    def known(self, batch: DataFrame) -> DataFrame:
+        """(ord) of the known rows of `batch` (cand_id, paper_id, doi, arxiv_id, title), which is taken into the history."""
+        works = cut(works_of(batch.select(F.col("cand_id").cast("long").alias("ord"), "paper_id", "doi", "arxiv_id", "title")))
+        ids, by_id = self._identified(works, True)
+        wordings = cut(wordings_of(works).repartitionByRange("wid").sortWithinPartitions("wid"))
+        asked = wordings.select("wid", F.col("wid").alias("lo"), F.col("wid").alias("hi"))
+        exact = cut(self.forest.wordings.search(asked, "lo", "hi", {"first": "f"}).groupBy("wid").agg(F.min("f").alias("near")))
+        fresh = self.forest.signed(wordings.join(exact.hint("merge"), "wid", "left_anti"))
+        self.forest.add(fresh)
+        near = self.forest.near(fresh, earlier=True).groupBy("wid").agg(F.min("other_first").alias("near")).unionByName(exact)
+        titled = works.where("base <> '' and not generic").select("ord", F.xxhash64("base", "marks").alias("wid"))
+        titled = titled.join(wordings.select("wid", "first").hint("merge"), "wid").join(near.hint("merge"), "wid", "left")
+        known = cut(by_id.unionByName(titled.where("first < ord or near < ord").select("ord")).distinct())
+        self.ids.add(ids)
+        self.forest.tidy()
+        if len(self.ids.live()) > FAN:
+            self.ids.merge(_one_identifier, self.ids.live()[1:])
+        return known
+
+    def accept(self, batch: DataFrame) -> DataFrame:
+        """`batch` with the column known."""
+        flag = self.known(batch).select(F.col("ord").alias("__k"), F.lit(True).alias("known"))
+        return batch.join(flag.hint("merge"), F.col("cand_id").cast("long") == F.col("__k"), "left").drop("__k").withColumn("known", F.coalesce("known", F.lit(False)))
+
+    def merge(self) -> None:
+        """All runs as one."""
+        self.forest.merge()
+        self.ids.merge(_one_identifier)
 
-        kept = self._read("weights").first()
-        weights = self.spark.sparkContext.broadcast(Weights(np.array(kept["counts"], "int32"), list(kept["usual"])))
-        own = cut(works_of(batch.select(F.col("cand_id").cast("long").alias("ord"), "paper_id", "doi", "arxiv_id", "title")))
-        old = self._read("works").select(F.lit(0).cast("long").alias("ord"), *[c for c in own.columns if c != "ord"])
-        by_id = identifier_matches(old.unionByName(own)).where("ord > 0")
-        own_wordings = cut(wordings_of(own))
-        own_entries = cut(forest_entries(own_wordings, weights))
-        old_entries = self._read("entries")
-        every = old_entries.unionByName(own_entries.select(old_entries.columns)).dropDuplicates(["tree", "wid"])
-        old_wordings = self._read("wordings")
-        known_before = old_wordings.withColumn("first", F.lit(0).cast("long"))
-        wordings = known_before.unionByName(own_wordings.select(old_wordings.columns)).groupBy("wid", "base").agg(F.min("first").alias("first"), F.max("short").alias("short"))
-        pairs = near_pairs(own_entries, every, wordings, earlier=True)
-        firsts = own_wordings.select(F.col("wid").alias("other"), F.col("first").alias("f"))
-        firsts = old_wordings.select(F.col("wid").alias("other"), F.lit(0).cast("long").alias("f")).unionByName(firsts).groupBy("other").agg(F.min("f").alias("f"))
-        near = pairs.join(firsts, "other").groupBy("wid").agg(F.min("f").alias("near"))
-        titled = own.where("base <> '' and not generic").withColumn("wid", F.xxhash64("base", "marks"))
-        titled = titled.join(firsts.withColumnRenamed("other", "wid"), "wid", "left").join(near, "wid", "left")
-        known = cut(by_id.unionByName(titled.where("f < ord or near < ord").select("ord")).distinct())
-        fresh = own.join(known, "ord", "left_anti")
-        fresh_wordings = cut(wordings_of(fresh))
-        sorted_run(forest_entries(fresh_wordings, weights)).write.mode("overwrite").parquet(f"{self.folder}/entries/run={number}")
-        fresh_wordings.write.mode("overwrite").parquet(f"{self.folder}/wordings/run={number}")
-        fresh.write.mode("overwrite").parquet(f"{self.folder}/works/run={number}")
-        flag = known.select(F.col("ord").alias("__k"), F.lit(True).alias("known"))
-        return batch.join(flag, F.col("cand_id") == F.col("__k"), "left").drop("__k").withColumn("known", F.coalesce("known", F.lit(False)))
-
-    def merge(self, number: int) -> None:
-        """All runs into run `number`, sorted again; the caller drops the older ones once it is written."""
-        e = self._read("entries").dropDuplicates(["tree", "wid"])
-        sorted_run(e).write.mode("overwrite").parquet(f"{self.folder}/merged/entries/run={number}")
-        self._read("works").write.mode("overwrite").parquet(f"{self.folder}/merged/works/run={number}")
-        self._read("wordings").dropDuplicates(["wid"]).write.mode("overwrite").parquet(f"{self.folder}/merged/wordings/run={number}")
+
+def _one_identifier(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("vid", "kind", "value").agg(F.min("first").alias("first"), F.min_by("first_base", F.struct("first", "first_base")).alias("first_base"), F.sum("n").alias("n"), F.sum("unlike").alias("unlike"))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, in the shared folder of the cluster."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def known_candidates(seen: DataFrame, candidates: DataFrame, folder: str | None = None) -> DataFrame:
+    """(cand_id) of the candidates that describe a work of the history or of a candidate with a lesser cand_id.
+
+    The history is taken into a forest, then all candidates that have arrived are accepted at once: within one acceptance
+    a row is held against the rows before it, so the result is that of accepting one batch after the other.
+    """
+    forest = HistoryForest(seen.sparkSession, folder or work_folder(seen.sparkSession, "history"))
+    forest.start(seen)
+    return forest.known(candidates).select(F.col("ord").alias("cand_id"))

@@ -139,18 +139,18 @@ def _side(rows: DataFrame) -> DataFrame:
 
 
 def _wordings(side: DataFrame) -> DataFrame:
-    return side.where("base <> '' and not generic").groupBy("wid", "base", "marks").agg(F.max("short").alias("short")).withColumn("first", F.lit(0).cast("long"))
+    return cut(history.wordings_of(side.withColumn("ord", F.lit(0).cast("long"))))
 
 
 def link(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, title, author, year, doi, confidence) of all candidate pairs of `left` and `right` (id, title, authors, year, doi)."""
     spark = left.sparkSession
     lhs, rhs = _side(left), _side(right)
-    lw, rw = cut(_wordings(lhs)), cut(_wordings(rhs))
-    weights = spark.sparkContext.broadcast(history.feature_weights(lw.unionByName(rw).dropDuplicates(["wid"])))
-    le, re_ = cut(history.forest_entries(lw, weights)), cut(history.forest_entries(rw, weights))
-    both = lw.unionByName(rw).groupBy("wid", "base").agg(F.max("short").alias("short"), F.min("first").alias("first"))
-    near = history.near_pairs(re_, le, both).select(F.col("other").alias("lw"), F.col("wid").alias("rw"))
+    lw, rw = _wordings(lhs), _wordings(rhs)
+    forest = history.Forest(spark, history.work_folder(spark, "linkage"))
+    forest.weights(lw.unionByName(rw).dropDuplicates(["wid"]))
+    forest.add(forest.signed(lw))
+    near = forest.near(forest.signed(rw)).select(F.col("other").alias("lw"), F.col("wid").alias("rw"))
     same = lw.select(F.col("wid").alias("lw")).join(rw.select(F.col("wid").alias("rw")), F.col("lw") == F.col("rw"))
     wordings = near.unionByName(same).distinct()
     a = lhs.select(F.col("id").alias("a"), F.col("wid").alias("lw"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 STATES = ["in press", "a preprint", "preprint", "postprint", "accepted manuscript", "author manuscript", "authors manuscript", "extended abstract", "early view", "online first", "working paper", "full text", "english abstract", "英文摘要", "预印本", "录用稿", "网络首发", "优先出版", "中文版", "英文版"]
 REACTIONS = {"correction": "correction", "corrigendum": "correction", "erratum": "correction", "comment": "comment", "comments": "comment", "reply": "reply", "response": "reply", "rejoinder": "reply", "continued": "continued", "continuation": "continued", "addendum": "addendum", "retraction": "retraction", "更正": "correction", "勘误": "correction", "评论": "comment", "商榷": "comment", "答复": "reply", "回复": "reply", "续": "continued", "续篇": "continued", "补遗": "addendum"}
 LATER = ["a second decade", "a third decade", "second decade", "third decade", "second survey", "third survey", "fourth survey", "a second survey", "a later survey", "later survey", "ten years on", "ten years later", "revisited again", "第二次调查", "再调查", "后续调查", "十年之后", "二次调查"]
-GENERIC = {"editorial", "preface", "preface to the special issue", "foreword", "foreword fieldwork in dry lands", "book review", "book reviews", "correction", "corrigendum", "erratum", "comment", "reply", "review", "introduction", "news", "obituary", "announcement", "contents", "index", "in memoriam", "letter to the editor", "conference report", "special issue", "编者按", "前言", "序言", "书评", "更正", "卷首语", "目录", "编后记", "会议报告", "征稿启事"}
+GENERIC = {"editorial", "preface", "preface to the special issue", "foreword", "book review", "book reviews", "correction", "corrigendum", "erratum", "comment", "reply", "review", "introduction", "news", "obituary", "announcement", "contents", "index", "in memoriam", "letter to the editor", "conference report", "special issue", "编者按", "前言", "序言", "书评", "更正", "卷首语", "目录", "编后记", "会议报告", "征稿启事"}
 GENERIC_BEGINNINGS = ("editorial ", "preface to ", "foreword ", "book review ", "introduction to the special ", "卷首语", "编者按", "书评")
 FUNCTION = frozenset("a an the of in on at by for from with using via through across throughout over and to into within during between upon".split())
 CJK_SAME = [("演变", "变化"), ("探讨", "研究"), ("观测", "监测"), ("基于", ""), ("以", ""), ("的", ""), ("论", ""), ("浅析", ""), ("分析", "分析"), ("及其", "及"), ("对于", "对")]
@@ -182,9 +182,11 @@ def same_base(a: str, b: str, cut: bool = False) -> bool:
     if edits(flat_u, flat_v, 4) <= (4 if len(flat_u) >= 40 else 2) and _slips(u, v):
         return True
     if len(u) + 1 == len(v) and len(u) >= 4:
-        for k in range(len(v)):
-            if all(_typed(p, q) for p, q in zip(u, v[:k] + v[k + 1 :], strict=True)):
-                return True
+        n = len(u)
+        front = next((i for i in range(n) if not _typed(u[i], v[i])), n)
+        back = next((i for i in range(n) if not _typed(u[n - 1 - i], v[n - i])), n)
+        if front + back >= n:
+            return True
     # cut short: the shorter one is the beginning of the longer one
     least = max(20, (0.4 if cut else 0.6) * len(flat_v))
     return len(flat_u) >= least and len(flat_u) < len(flat_v) and edits(flat_u, flat_v[: len(flat_u)], 3) <= 3 and _begins(u, v, cut)
