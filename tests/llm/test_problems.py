@@ -335,10 +335,31 @@ def test_split_tree_keeps_counts():
 
 def test_abuse_scores(spark):
     ex = spark.createDataFrame([(i, f"You are a useless clown number {i}", 1) for i in range(30)] + [(100 + i, f"The samples of plot {i} were weighed twice", 0) for i in range(30)], "example_id long, text string, label long")
-    texts = ["You are a useless clown.", "Y o u are a u s e l e s s clown", "The samples of the plot were weighed.", "Naked soil faces the wind after the harvest.", None, "", "  \n ", "The plot was dry. " * 2000 + "Shut up, you worthless idiot. " + "It rained. " * 2000]
+    texts = ["You are a useless clown.", "Y o u are a u s e l e s s clown", "The samples of the plot were weighed.", "Naked soil faces the wind after the harvest.", None, "", "  \n ", "The plot was dry. " * 2000 + "You are a useless clown. " + "It rained. " * 2000]
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     scores = abuse.abuse_scores(docs, ex)
     got = {r["doc_id"]: r["offensive"] for r in scores.collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: True}
     assert abuse.abuse_rates(scores).first()["n_offensive"] == 3
-    assert abuse.abuse_scores(docs, ex.limit(0)).where("doc_id = 7").first()["offensive"]
+    # nothing is known without examples
+    assert not any(r["offensive"] or r["score"] for r in abuse.abuse_scores(docs, ex.limit(0)).collect())
+    assert abuse.abuse_scores(docs.limit(0), ex).count() == 0
+
+
+def test_short_windows_are_scored():
+    s = abuse.Scorer(["drop dead you crud", "you are crudmonger", "crudmonger"], ["the soil was dry", "the map is old"])
+    assert s.window("you crud") >= 0 and s.window("drop dead you") > 0 and s.window("") == 0 and abuse.Scorer([], ["x"]).window("crud") == 0
+
+
+def test_calibration_holds_families_out():
+    texts = ["you are a dull clown today", "you are a dull fool today", "rain fell on the upper plot", "rain fell on the lower field"]
+    assert (k := abuse.families(texts))[0] == k[1] and k[2] == k[3] and k[0] != k[2]
+
+
+def test_growth_takes_new_wordings_in(spark):
+    bad, good = ["you are a useless clown, said number 0"], ["the samples of plot 0 were weighed twice"]
+    new, rest = "You are a useless clown, said the note, now crawl off to the mire.", "Now crawl off to the mire."
+    docs = spark.createDataFrame([(i, new if i < 3 else "The samples of the plot were weighed twice.") for i in range(40)], "doc_id long, text string")
+    more_bad, more_good = abuse.grown(docs, bad, good)
+    assert abuse.even(new) in more_bad and "the samples of the plot were weighed twice." in more_good
+    assert abuse.Scorer(more_bad, more_good).window(abuse.even(rest)) > 0.1 > abuse.Scorer(bad, good).window(abuse.even(rest))

@@ -1,77 +1,52 @@
 """Scores for abusive, hateful and sexually explicit wording by compression distance.
 
-Two zstandard dictionaries are made, one of offensive and one of ordinary text: labelled examples and the wordings
-listed here. A window of text that one dictionary shortens clearly more than the other resembles it. The score of a window is
-the difference of the two lengths a byte; that of a document is its largest. The threshold is calibrated on
-the examples, each judged with dictionaries that lack its own wording.
+Two zstandard dictionaries are made, one of offensive and one of ordinary text. A window of text that one dictionary shortens
+clearly more than the other resembles it. The score of a window is the difference of the two lengths a byte; that of a document
+is its largest. The dictionaries begin with the labelled examples, at most MAX_EXAMPLES of them, and nothing else is
+listed anywhere. They then grow on the corpus: one pass counts, over all documents, the windows that aren't plainly ordinary;
+in each of a few rounds those that score clearly offensive join the offensive dictionary, and those that a fixed share of
+all documents has and that don't score so join the ordinary one. A dictionary holds its texts whole up to DICTIONARY_BYTES;
+beyond that zstandard's trainer selects what it holds.
+
+The threshold is calibrated on the examples: each is scored with dictionaries that lack all examples it shares a phrase with.
 
 Before comparing, spelling is evened out: case, width, accents on letters used as disguise, letters drawn apart, drawn out
 or replaced by digits and signs; numbers count as one.
 
-Defined results: null, empty and blank texts score 0 and are never offensive; without examples the listed wordings and the
-default threshold are used; every window of a text of any length is scored.
+Defined results: null, empty and blank texts score 0 and are never offensive; without offensive and ordinary examples every score
+is 0 and nothing is offensive; every window of a text of any length is scored, though compression saves no byte on a window of
+a few letters, so a single short word scores 0.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.runtime import cut
+
 #: Labelled rows that may be fitted on.
 MAX_EXAMPLES = 20_000
-#: Threshold without examples, its bounds with them, and windows a worker remembers.
-DEFAULT_THRESHOLD, THRESHOLD_BOUNDS = 0.1, (0.09, 0.3)
-MEMO_LIMIT = 300_000
+#: Threshold where there are too few examples to calibrate on; windows a worker remembers.
+DEFAULT_THRESHOLD, MEMO_LIMIT = 0.1, 300_000
 #: Length and step of the windows of long sentences, in characters.
 WINDOW, STEP = 160, 80
-
-# Offensive wordings of common languages.
-OFFENSIVE = """you are a stupid idiot, a moron, an imbecile, a cretin, a halfwit, a fool, a loser, a clown, a scumbag, a bastard, a parasite
-you worthless piece of shit, you pathetic waste of air, you useless waste of space, you disgusting pig, you filthy animal, you brainless moron, you miserable creature
-only an idiot like you could mess up this; what a stupid piece of crap, and so is the bastard behind it
-shut up, shut your mouth, shut the fuck up, fuck you, fuck off, piss off, go to hell, go fuck yourself, drop dead, kill yourself
-we all hate you, nobody likes you, crawl back into your hole, fall into the ditch and stay there, i hope you die, you should be shot, you deserve to die
-i will find you and kill you, i will break your fingers, i will break your bones, i know where you live, watch your back, we will beat you up
-they are animals, they are vermin, they are rats, they are parasites, they are subhuman and do not deserve rights, they are a disease, they are born criminals
-keep them out of our country, keep them out of our labs, send them back, drive them out, they should be driven out, exterminate them, it was a blessing that they starved, get rid of them all, they breed like rats
-women are too stupid, all foreigners are thieves, migrants are scum, believers are vermin, nomads are filth, the disabled are worthless
-bitch, whore, slut, cunt, asshole, dickhead, motherfucker, retard, faggot
-we would all be better off if they were wiped out, we would sleep better if they were gone, they are lazy, dirty thieves, every one of them, typical of those people, they all steal and lie, gas them all, hang them all, string them up
-send me nude pictures, send nudes, i will tell you what i want to do to your body in bed, i want to lick every inch of you until you scream, i want you naked, ride me, make me come, free xxx videos, free porn, horny girls go all night long, watch them strip, spread your legs, suck my dick
-drop dead, clown; get lost, loser; eat shit, moron; i hope you rot; you make me sick, you ugly cow; you people disgust me; nobody would miss you
-they had wild sex, her orgasm, he licked her nipples, she moaned, hard cock, wet pussy, touching her bare breasts, she took off her clothes and begged for sex, naked girls want to sleep with you tonight, hot girls in your area, watch nude cams, porn videos, blow job
-du bist ein dummer idiot, du dummes arschloch, halt die fresse, halt deine dumme fresse, verpiss dich, fick dich, du hurensohn, du missgeburt, dreckskerl, drecksack, geh sterben, niemand will dich, ihr seid abschaum, alle ausländer raus, diese leute sind ungeziefer und gehören weggejagt, dieses gesindel, untermenschen, du wertloses stück dreck, ich bring dich um, dieses pack gehört vergast
-ferme ta gueule, espèce de connard, espèce d'idiot, va te faire foutre, sale con, fils de pute, salope, pauvre merde, sale ordure, dégage, crève, ces gens sont des animaux, ces gens sont de la vermine, qu'ils crèvent tous, sales parasites, je vais te tuer, bande d'abrutis, dehors les étrangers
-eres un imbécil de mierda, cállate, vete a la mierda, hijo de puta, eres un idiota, pendejo, cabrón, maldito gilipollas, que te jodan, esos extranjeros son basura, que se larguen todos, son animales, son una plaga, te voy a matar, maldita perra, eres una mierda, fuera de aquí
-cala a boca, seu idiota de merda, vai se foder, filho da puta, vai tomar no cu, seu imbecil, seu lixo, burro inútil, esses estrangeiros são uns animais, essa gente é uma praga, que morram todos, vou te matar, sua vadia, você é um lixo, fora daqui
-你这个白痴，你这个蠢货，你这个废物，你这个贱人，你这个王八蛋，你这个傻逼，你是猪吗，真是不要脸，写出这种垃圾
-滚出去，滚开，给我滚，别再来烦我们，闭嘴，去死吧，早点去死，全家都去死，全家死光，我要杀了你，打断你的腿，弄死你
-他们都是畜生，那些外来的人都是畜生，应该统统赶走，都是垃圾，都是蟑螂，低等民族，不配活着，滚回老家去，劣等人种，女人就是蠢
-操你妈，他妈的，妈的智障，脑残，狗娘养的，婊子，臭婊子，贱货，骚货
-她脱光了衣服求他和她做爱，性交，高潮，呻吟，裸聊激情视频，点击就看，夜夜销魂，约炮，色情视频，抚摸她的乳房""".split("\n")
-
-# Ordinary wordings with words of that kind.
-ORDINARY = """this argument is weak and the figure is ugly, but the data are worth keeping, we do not trust the survey, it was careless, the paper is badly written, i disagree with the authors, the claim is wrong, poor quality of the map, valley floor width
-naked soil, naked eye, bare soil, bare ground, bare rock was mapped as a class of its own, naked slopes after the harvest
-breast-height diameter, breast height of the trees, sex ratio of the willows, male and female plants, sexual reproduction, asexual reproduction of moss, same-sex pairs of birds
-parasite load in voles, host and parasite, parasite density, hot, wet nights, vermin had eaten the seed, rats and mice in the traps, animals were counted at the water hole, animal waste
-a stupid mistake of ours, dumb errors in the logger, a dummy variable, an idiot-proof mount, a foolproof design, a pathetic basis for a trend, a useless sensor was replaced, worthless readings were dropped, miserable weather stopped the field work
-killed by frost, the killer outlier, killing frost, dead wood, die back of the trees, shoot length, the shot hole, trees were beaten, beating the bushes, the reviewers fought over it, attack by bark beetles
-bastard cedar, cock's-foot grass, bitch of a slope, ass and mule tracks, hell creek, dam, virgin stand, virgin forest, crap traps, titmouse, pussy willow
-coders marked comments as hateful or abusive, a lexicon of insults, hate speech was classified, the survey asked about harassment and threats, reports of violence against women, sexual health survey, a study of racism in the media, migrants and refugees were interviewed, the believers keep the spring clean, nomads move their herds in autumn
-filth and waste at the outlet, garbage dump, trash was removed from the channel, scum on the pond, foreign workers rented the land, the old people remember the flood
-die messungen zeigen, die jährliche änderung, der größte fehler, fremde arten, tote bäume, nackter boden, dumme fehler
-les données manquantes, le sol nu, des animaux sauvages, étrangers au bassin, la merde des oiseaux
-suelo desnudo, animales muertos, el error más grande, los datos se revisaron, basura en el cauce
-solo nu, animais mortos, lixo no canal, os dados foram revistos
-裸岩与裸土合并为一类，裸露地表在大风之后迅速沙化，废物堆放场下方的渗滤液，废物处理，垃圾填埋场，畜生产量与草场退化，牲畜数量，滚动窗口长度，滚石，傻瓜相机拍摄的照片，贱卖的坡地由外乡人承包，杀虫剂，死亡率，性别比，两性花，性状，蠢动，高潮位，潮水高潮
-移民和流民的访谈，外乡人租种的坡地，山民的耕作习惯，仇恨言论的标注，骚扰和威胁的报告""".split("\n")
+#: Share of held-out ordinary examples that may lie above the threshold.
+ORDINARY_ABOVE = 0.01
+#: Bytes a dictionary holds whole, and the least bytes a length is divided by.
+DICTIONARY_BYTES, LEAST_BYTES = 1 << 17, 24
+#: Growth: windows that score at least SUSPECT are counted; ADOPT makes one offensive; one that scores at most ORDINARY and that
+#: at least USUAL_SHARE of the documents have is ordinary; rounds; offensive windows adopted at most, the most frequent first.
+SUSPECT, ADOPT, ORDINARY, USUAL_SHARE, ROUNDS, MAX_ADOPTED = -0.1, 0.12, 0.08, 2e-3, 3, 4_000
+#: Distinct windows a worker counts before it passes them on.
+COUNTER_LIMIT = 200_000
 
 _SPLIT = re.compile(r"(?<=[.!?。！？…])\s+|(?<=[。！？])|\n+")
 _APART = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")
@@ -83,17 +58,27 @@ _OPENING = re.compile(r"^[^:,，：]{2,40}[:,，：]\s*(?=\S{2})")
 _INTRO = re.compile(r"^(?:[-*]\s+)?(?:\*\*[^*]{1,20}\*\*\s*)?")
 
 
+_LEETABLE = re.compile(r"[0-9@$!]")
+_MASKS = re.compile(r"(?<=[^\W\d_])[*#+~^]+(?=[^\W\d_])")
+_SPACE, _NUMBER, _JOINTS = re.compile(r"\s+"), re.compile(r"[0-9]+"), re.compile(r"[ .\-_*]")
+
+
+def _unleeted(m: re.Match) -> str:
+    return m.group().translate(_LEET) if sum(c.isalpha() for c in m.group()) >= 3 else m.group()
+
+
 def even(window: str) -> str:
     """Spelling evened out, numbers as one sign."""
-    t = unicodedata.normalize("NFKC", window)
+    t = window
     if not t.isascii():
+        t = unicodedata.normalize("NFKC", t)
         t = "".join(c for c in t if c < "\xad" or unicodedata.category(c) not in ("Cf", "Mn"))
     t = _INTRO.sub("", t.strip().lower().lstrip("# ").strip())
-    t = _APART.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), t)
-    t = _MIXED.sub(lambda m: m.group().translate(_LEET) if sum(c.isalpha() for c in m.group()) >= 3 else m.group(), t)
-    t = _LONG.sub(r"\1", t)
-    t = re.sub(r"(?<=[^\W\d_])[*#+~^]+(?=[^\W\d_])", "", t)
-    return re.sub(r"\s+", " ", re.sub(r"[0-9]+", "0", t))
+    t = _APART.sub(lambda m: _JOINTS.sub("", m.group()), t)
+    if _LEETABLE.search(t):
+        t = " ".join(w if w.isalpha() or not _LEETABLE.search(w) else _MIXED.sub(_unleeted, w) for w in t.split())
+    t = _MASKS.sub("", _LONG.sub(r"\1", t))
+    return _SPACE.sub(" ", _NUMBER.sub("0", t))
 
 
 def windows(text: str) -> Iterator[str]:
@@ -111,27 +96,39 @@ def windows(text: str) -> Iterator[str]:
                 yield s[i : i + WINDOW]
 
 
+def dictionary(texts: list[str]) -> bytes:
+    """The texts whole, or as many of their common parts as the trainer gets into DICTIONARY_BYTES."""
+    import zstandard as z
+
+    whole = "\n".join(texts).encode()
+    return whole if len(whole) <= DICTIONARY_BYTES else z.train_dictionary(DICTIONARY_BYTES, [t.encode() for t in texts]).as_bytes()
+
+
 class Scorer:
     def __init__(self, offensive: list[str], ordinary: list[str]):
         import zstandard as z
 
-        params = z.ZstdCompressionParameters(compression_level=19, window_log=17, min_match=3, strategy=z.STRATEGY_BTULTRA2, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+        params = z.ZstdCompressionParameters(compression_level=12, window_log=18, min_match=3, strategy=z.STRATEGY_BTULTRA2, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
 
-        def sized(lines: list[str]):
-            content = "\n".join(lines).encode()
-            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        def sized(texts: list[str]):
+            # both as plain content: trained tables of letter frequencies would differ and tell languages apart, not wordings
+            d = z.ZstdCompressionDict(dictionary(texts), dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
             c = z.ZstdCompressor(dict_data=d, compression_params=params).compress
             return lambda raw: len(c(raw))
 
-        self.bad, self.good = sized(offensive), sized(ordinary)
+        self.known = bool(offensive and ordinary)
+        if self.known:
+            self.bad, self.good = sized(offensive), sized(ordinary)
         self.memo: dict[str, float] = {}
 
     def window(self, evened: str) -> float:
+        if not self.known:
+            return 0.0
         known = self.memo.get(evened)
         if known is None:
             raw = evened.encode()
-            known = (self.good(raw) - self.bad(raw)) / max(len(raw), 24) if len(raw) > 5 else 0.0
+            known = (self.good(raw) - self.bad(raw)) / max(len(raw), LEAST_BYTES)
             if len(self.memo) >= MEMO_LIMIT:
                 self.memo.clear()
             self.memo[evened] = known
@@ -143,29 +140,56 @@ class Scorer:
         return max((self.window(even(w)) for w in windows(text)), default=0.0)
 
 
-def fit(examples: list[tuple[str, int]]) -> tuple[list[str], list[str], float]:
-    """(offensive lines, ordinary lines, threshold) from labelled examples and the listed wordings."""
+def labelled(examples: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
+    """(offensive, ordinary) evened texts of labelled examples; a text with both labels counts as its first."""
     lines: dict[str, int] = {}
     for text, label in examples:
         if text and text.strip():
             lines.setdefault(even(text), int(label))
-    bad = sorted(t for t, y in lines.items() if y == 1)
-    good = sorted(t for t, y in lines.items() if y == 0)
-    threshold = DEFAULT_THRESHOLD
-    if len(bad) >= 20 and len(good) >= 20:
-        folds, held = 5, []
-        for k in range(folds):
-            s = Scorer([*(even(t) for t in OFFENSIVE), *(t for i, t in enumerate(bad) if i % folds != k)], [*(even(t) for t in ORDINARY), *(t for i, t in enumerate(good) if i % folds != k)])
-            held += [(s.window(t), 1) for i, t in enumerate(bad) if i % folds == k] + [(s.window(t), 0) for i, t in enumerate(good) if i % folds == k]
-        best = max((2 * tp / (2 * tp + fp + fn), -th) for th in {round(x, 3) for x, _ in held} for tp, fp, fn in [(sum(y and x >= th for x, y in held), sum(not y and x >= th for x, y in held), sum(y and x < th for x, y in held))] if tp)
-        # between the worst accepted and the best rejected
-        least = -best[1]
-        # a quarter of the way from ordinary to offensive wording: new wordings are less alike than those held out
-        usual = sorted(x for x, y in held if not y)
-        below = max(0.0, usual[int(len(usual) * 0.95)])
-        threshold = below + (least - below) / 4
-    threshold = min(max(threshold, THRESHOLD_BOUNDS[0]), THRESHOLD_BOUNDS[1])
-    return [*(even(t) for t in OFFENSIVE), *bad], [*(even(t) for t in ORDINARY), *good], threshold
+    return sorted(t for t, y in lines.items() if y == 1), sorted(t for t, y in lines.items() if y == 0)
+
+
+def _phrases(text: str) -> set[str]:
+    words = re.findall(r"[^\W_]+", text)
+    out = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
+    for run in re.findall("[㐀-鿿]+", text):
+        out |= {run[i : i + 4] for i in range(len(run) - 3)}
+    return out or {text}
+
+
+def families(texts: list[str]) -> list[int]:
+    """A number for each text: equal for texts that a chain of shared phrases connects."""
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        for p in _phrases(t):
+            parent[root(i)] = root(first.setdefault(p, i))
+    return [root(i) for i in range(len(texts))]
+
+
+def calibrated(bad: list[str], good: list[str], folds: int = 5) -> float:
+    """The score that at most a share ORDINARY_ABOVE of the ordinary examples exceeds, each scored without its family."""
+    if len(bad) < 20 or len(good) < 20:
+        return DEFAULT_THRESHOLD
+    kin = families([*bad, *good])
+    order = {k: n % folds for n, k in enumerate(dict.fromkeys(kin))}
+    fold = [order[k] for k in kin]
+    held = []
+    for k in range(folds):
+        s = Scorer([t for t, f in zip(bad, fold, strict=False) if f != k], [t for t, f in zip(good, fold[len(bad) :], strict=True) if f != k])
+        held += [(s.window(t), y) for texts, fs, y in ((bad, fold, 1), (good, fold[len(bad) :], 0)) for t, f in zip(texts, fs, strict=False) if f == k]
+    # offensive text is far rarer in a corpus than among the examples: next to no ordinary example may lie above
+    ordinary = sorted((x for x, y in held if not y), reverse=True)
+    at = ordinary[int(len(ordinary) * ORDINARY_ABOVE)]
+    above = min((x for x, _ in held if x > at), default=at + 1 / LEAST_BYTES)
+    return (at + above) / 2
 
 
 @lru_cache(maxsize=2)
@@ -173,14 +197,69 @@ def _scorer(bad: tuple[str, ...], good: tuple[str, ...]) -> Scorer:
     return Scorer(list(bad), list(good))
 
 
+def suspects(documents: DataFrame, model) -> DataFrame:
+    """(window, n): the evened windows that score at least SUSPECT, and how many documents have each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, seen = _scorer(*model.value), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["window", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t and not t.isspace():
+                    seen.update(e for e in {even(w) for w in windows(t)} if s.window(e) >= SUSPECT)
+            if len(seen) > COUNTER_LIMIT:
+                yield flush()
+        if seen:
+            yield flush()
+
+    return documents.select("text").mapInArrow(count, "window string, n long").groupBy("window").agg(F.sum("n").alias("n"))
+
+
+def _window_score(window: Column, model) -> Column:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        s = _scorer(*model.value)
+        return pa.array([s.window(t) for t in texts.to_pylist()], pa.float64())
+
+    return score(window)
+
+
+def grown(documents: DataFrame, bad: list[str], good: list[str]) -> tuple[list[str], list[str]]:
+    """The two lists of texts, grown on the corpus. What comes to the driver is bounded: at most MAX_ADOPTED offensive windows, and
+    the windows that at least USUAL_SHARE of the documents have, of which a document of m windows pays for m."""
+    spark = documents.sparkSession
+    start = spark.sparkContext.broadcast((tuple(bad), tuple(good)))
+    counted = cut(suspects(documents, start))
+    usual = USUAL_SHARE * documents.count()
+    more_bad, more_good = list(bad), list(good)
+    for _ in range(ROUNDS):
+        model = spark.sparkContext.broadcast((tuple(more_bad), tuple(more_good)))
+        scored = cut(counted.withColumn("v", _window_score(F.col("window"), model)).where((F.col("v") >= ADOPT) | ((F.col("v") <= ORDINARY) & (F.col("n") >= usual))))
+        up = scored.where(F.col("v") >= ADOPT).orderBy(F.desc("n"), "window").limit(MAX_ADOPTED).select("window").collect()
+        down = scored.where(F.col("v") <= ORDINARY).select("window").collect()
+        before = more_bad, more_good
+        more_bad, more_good = sorted({*bad, *(r["window"] for r in up)}), sorted({*good, *(r["window"] for r in down)})
+        if before == (more_bad, more_good):
+            break
+    return more_bad, more_good
+
+
 def abuse_scores(documents: DataFrame, examples: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, source, score, offensive) of every row of `documents` (key, text, source). One pass, no shuffle.
+    """(key, source, score, offensive) of every row of `documents` (key, text, source). Two passes; only counted suspects are shuffled.
 
     At most MAX_EXAMPLES labelled rows, in the order of example_id, are fitted on.
     """
     spark = documents.sparkSession
     rows = examples.where("text is not null and label is not null").orderBy("example_id").limit(MAX_EXAMPLES).select("text", "label").collect()
-    bad, good, threshold = fit([(r["text"], r["label"]) for r in rows])
+    bad, good = labelled([(r["text"], r["label"]) for r in rows])
+    threshold = calibrated(bad, good)
+    if bad and good:
+        bad, good = grown(documents, bad, good)
     model = spark.sparkContext.broadcast((tuple(bad), tuple(good)))
 
     @F.arrow_udf("double")
@@ -188,7 +267,8 @@ def abuse_scores(documents: DataFrame, examples: DataFrame, key: str = "doc_id")
         s = _scorer(*model.value)
         return pa.array([round(s.text(t), 6) for t in texts.to_pylist()], pa.float64())
 
-    return documents.select(key, "source", score("text").alias("score")).withColumn("offensive", F.col("score") >= F.lit(float(threshold)))
+    offensive = F.col("score") >= F.lit(float(threshold)) if bad and good else F.lit(False)
+    return documents.select(key, "source", score("text").alias("score")).withColumn("offensive", offensive)
 
 
 def abuse_rates(scores: DataFrame) -> DataFrame:
