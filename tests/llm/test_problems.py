@@ -357,7 +357,7 @@ def test_calibration_holds_families_out():
 
 
 def test_growth_takes_new_wordings_in(spark):
-    bad, good = ["you are a useless clown, said number 0"], ["the samples of plot 0 were weighed twice"]
+    bad, good = ["you are a useless clown, said number 0"], ["the samples of plot 0 were weighed twice", *(f"field notes of the {k} survey were typed again" for k in ("first", "second", "third", "last"))]
     new, rest = "You are a useless clown, said the note, now crawl off to the mire.", "Now crawl off to the mire."
     docs = spark.createDataFrame([(i, new if i < 3 else "The samples of the plot were weighed twice. It rained.") for i in range(40)], "doc_id long, text string")
     more_bad, more_good = abuse.grown(docs, bad, good)

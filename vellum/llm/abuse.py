@@ -3,9 +3,9 @@
 Two zstandard dictionaries are made, one of offensive and one of ordinary text. A window of text that one dictionary shortens
 clearly more than the other resembles it. The score of a window is the difference of the two lengths a byte; that of a document
 is its largest. The dictionaries begin with the labelled examples, at most MAX_EXAMPLES of them, and nothing else is
-listed anywhere. They then grow on the corpus: one pass counts, over all documents, the windows that aren't plainly ordinary;
-in each of a few rounds those that score clearly offensive join the offensive dictionary, and those that a fixed share of
-all documents has and that don't score so join the ordinary one. A dictionary holds its texts whole up to DICTIONARY_BYTES;
+listed anywhere. They then grow on the corpus: one pass counts the windows of all documents; in each of a few rounds those
+that score clearly offensive join the offensive dictionary, and those that a fixed share of all documents has and that don't
+score so join the ordinary one. A dictionary holds its texts whole up to DICTIONARY_BYTES;
 beyond that zstandard's trainer selects what it holds.
 
 The threshold is calibrated on the examples: each is scored with dictionaries that lack all examples it shares a phrase with.
@@ -29,6 +29,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from vellum.runtime import cut
 
@@ -42,9 +43,11 @@ WINDOW, STEP = 160, 80
 ORDINARY_ABOVE = 0.01
 #: Bytes a dictionary holds whole, and the least bytes a length is divided by.
 DICTIONARY_BYTES, LEAST_BYTES = 1 << 17, 24
-#: Growth: windows that score at least SUSPECT are counted; ADOPT makes one offensive; one that scores at most ORDINARY and that
-#: at least USUAL_SHARE of the documents have is ordinary; rounds; offensive windows adopted at most, the most frequent first.
-SUSPECT, ADOPT, ORDINARY, USUAL_SHARE, ROUNDS, MAX_ADOPTED = -0.1, 0.12, 0.08, 2e-3, 3, 4_000
+#: Growth: a window of at most ADOPT_CHARS that scores at least ADOPT, and so by ADOPT_BYTES at least, becomes offensive unless it is
+#: usual; a usual window, which at least USUAL_SHARE of the documents and USUAL_LEAST have, is ordinary if it scores at most
+#: ORDINARY. The most frequent offensive ones come first, until their dictionary is as large as the ordinary one: the larger one
+#: would shorten everything a little more.
+ADOPT, ADOPT_BYTES, ADOPT_CHARS, ORDINARY, USUAL_SHARE, USUAL_LEAST, ROUNDS = 0.2, 8, 110, 0.08, 1e-3, 5, 2
 #: Distinct windows a worker counts before it passes them on.
 COUNTER_LIMIT = 200_000
 
@@ -197,11 +200,11 @@ def _scorer(bad: tuple[str, ...], good: tuple[str, ...]) -> Scorer:
     return Scorer(list(bad), list(good))
 
 
-def suspects(documents: DataFrame, model) -> DataFrame:
-    """(window, n): the evened windows that score at least SUSPECT, and how many documents have each."""
+def counted_windows(documents: DataFrame) -> DataFrame:
+    """(window, n): the evened windows, and how many documents have each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, seen = _scorer(*model.value), Counter()
+        seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["window", "n"])
@@ -211,7 +214,7 @@ def suspects(documents: DataFrame, model) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and not t.isspace():
-                    seen.update(e for e in {even(w) for w in windows(t)} if s.window(e) >= SUSPECT)
+                    seen.update({even(w) for w in windows(t)})
             if len(seen) > COUNTER_LIMIT:
                 yield flush()
         if seen:
@@ -230,27 +233,31 @@ def _window_score(window: Column, model) -> Column:
 
 
 def grown(documents: DataFrame, bad: list[str], good: list[str]) -> tuple[list[str], list[str]]:
-    """The two lists of texts, grown on the corpus. What comes to the driver is bounded: at most MAX_ADOPTED offensive windows, and
-    the windows that at least USUAL_SHARE of the documents have, of which a document of m windows pays for m."""
+    """The two lists of texts, grown on the corpus. What comes to the driver is bounded: the windows that at least USUAL_SHARE of the
+    documents have, of which a document of m windows pays for m, and as many bytes of offensive ones."""
     spark = documents.sparkSession
-    start = spark.sparkContext.broadcast((tuple(bad), tuple(good)))
-    counted = cut(suspects(documents, start))
-    usual = USUAL_SHARE * documents.count()
+    usual = max(USUAL_LEAST, USUAL_SHARE * documents.count())
+    counted = cut(counted_windows(documents).where((F.col("n") >= usual) | (F.length("window") <= ADOPT_CHARS)))
+    size = lambda texts: sum(len(t.encode()) + 1 for t in texts)
     more_bad, more_good = list(bad), list(good)
     for _ in range(ROUNDS):
         model = spark.sparkContext.broadcast((tuple(more_bad), tuple(more_good)))
-        scored = cut(counted.withColumn("v", _window_score(F.col("window"), model)).where((F.col("v") >= ADOPT) | ((F.col("v") <= ORDINARY) & (F.col("n") >= usual))))
-        up = scored.where(F.col("v") >= ADOPT).orderBy(F.desc("n"), "window").limit(MAX_ADOPTED).select("window").collect()
-        down = scored.where(F.col("v") <= ORDINARY).select("window").collect()
-        before = more_bad, more_good
-        more_bad, more_good = sorted({*bad, *(r["window"] for r in up)}), sorted({*good, *(r["window"] for r in down)})
-        if before == (more_bad, more_good):
-            break
+        scored = counted.withColumn("v", _window_score(F.col("window"), model))
+        up = (F.col("v") >= ADOPT) & (F.col("v") * F.greatest(F.octet_length("window"), F.lit(LEAST_BYTES)) >= ADOPT_BYTES - 0.5) & (F.col("n") < usual) & (F.length("window") <= ADOPT_CHARS)
+        scored = cut(scored.where(up | ((F.col("n") >= usual) & (F.col("v") <= ORDINARY))).withColumn("up", up))
+        down = [r["window"] for r in scored.where(~F.col("up")).select("window").collect()]
+        more_good = sorted({*good, *down})
+        room = size(more_good) - size(bad)
+        # windows have a byte at least
+        ahead = F.sum(F.octet_length("window") + 1).over(W.Window.orderBy(F.desc("n"), "window"))
+        first = scored.where("up").orderBy(F.desc("n"), "window").limit(max(room, 0) // 2 + 1)
+        taken = [r["window"] for r in first.withColumn("upto", ahead).where(F.col("upto") <= room).select("window").collect()]
+        more_bad = sorted({*bad, *taken})
     return more_bad, more_good
 
 
 def abuse_scores(documents: DataFrame, examples: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, source, score, offensive) of every row of `documents` (key, text, source). Two passes; only counted suspects are shuffled.
+    """(key, source, score, offensive) of every row of `documents` (key, text, source). Two passes; only counted windows are shuffled.
 
     At most MAX_EXAMPLES labelled rows, in the order of example_id, are fitted on.
     """
