@@ -325,9 +325,14 @@ def test_mixture(spark):
     assert mixing.mixture(docs.limit(0), targets).count() == 0
 
 
-def test_split_tree_keeps_counts():
-    out = mixing.split_tree([100, 7, 0], 9, 1)
-    assert [sum(c) for c in zip(*out)] == [100, 7, 0] and max(sum(r) for r in out) - min(sum(r) for r in out) <= 4
+def test_split_tree_keeps_counts(spark):
+    out = [mixing.shard_share([100, 7, 0], 9, k, 1) for k in range(9)]
+    got = [g for _, g in out]
+    assert [sum(c) for c in zip(*got)] == [100, 7, 0] and max(sum(r) for r in got) - min(sum(r) for r in got) <= 4
+    # the ranks of a source follow each other without gap
+    assert all(out[k + 1][0] == [b + g for b, g in zip(*out[k])] for k in range(8))
+    spans = mixing.shard_spans(spark, {"a": 100, "b": 7, "c": 0}, 9, 1)
+    assert sorted(r for x in spans.where("source = 'a'").collect() for r in range(x["lo"], x["hi"] + 1)) == list(range(1, 101))
 
 
 # 10. abuse

@@ -17,15 +17,17 @@ doc_id are one document.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vellum.llm.tokens import token_count
 from vellum.runtime import cut
 
-MAX_SOURCES, MAX_BLOCKS = 10_000, 100_000
+MAX_SOURCES = 10_000
 
 
 def plan(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: int | None = None) -> dict[str, dict]:
@@ -43,24 +45,43 @@ def plan(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: i
     return out
 
 
-def split_tree(units: list[int], shards: int, seed: int) -> list[list[int]]:
-    """How many units of each source every shard gets."""
+def shard_share(units: list[int], shards: int, shard: int, seed: int) -> tuple[list[int], list[int]]:
+    """(units of each source that come before `shard`, units it gets): the way from the root of the splitting tree to its leaf.
+
+    The draw at a node depends on the node alone, so every shard that walks through it sees the same one.
+    """
     import numpy as np
 
-    out = [[0] * len(units) for _ in range(shards)]
-    stack = [(np.array(units, "int64"), 0, shards)]
-    while stack:
-        have, lo, hi = stack.pop()
-        if hi - lo == 1:
-            out[lo] = have.tolist()
-            continue
+    have, before = np.array(units, "int64"), np.zeros(len(units), "int64")
+    lo, hi = 0, shards
+    while hi - lo > 1:
         mid = (lo + hi) // 2
         n = int(have.sum())
-        rng = np.random.default_rng([seed, lo, hi])
         take = n * (mid - lo) // (hi - lo)
+        rng = np.random.default_rng([seed, lo, hi])
         left = rng.multivariate_hypergeometric(have, take, method="marginals") if 0 < take < n else (have if take else have * 0)
-        stack += [(left, lo, mid), (have - left, mid, hi)]
-    return out
+        if shard < mid:
+            have, hi = left, mid
+        else:
+            before, have, lo = before + left, have - left, mid
+    return before.tolist(), have.tolist()
+
+
+def shard_spans(spark: SparkSession, counts: dict[str, int], shards: int, seed: int) -> DataFrame:
+    """(source, lo, hi, shard): which ranks of each source every shard gets. The tree is walked where the shards are."""
+    names = sorted(counts)
+    units = [counts[s] for s in names]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in batch.column(0).to_pylist():
+                before, got = shard_share(units, shards, k, seed)
+                rows += [(s, b + 1, b + n, k) for s, b, n in zip(names, before, got, strict=True) if n]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["source", "lo", "hi", "shard"])
+
+    return spark.range(shards).mapInArrow(walk, "source string, lo long, hi long, shard int")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = 1 << 16, shard_tokens: int = 1 << 20, seed: int = 7, tokenizer: str = "byte_bpe_50k") -> DataFrame:
@@ -72,14 +93,15 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     wanted = [(r["source"], r["target_share"], r["max_repeats"]) for r in rows]
     names = [s for s, share, _ in wanted if s is not None and share and share > 0]
     sized = documents.where(F.col("source").isin(names)).select("doc_id", "source", token_count(F.col("text"), tokenizer).alias("n_tokens"))
-    sized = cut(sized.where("n_tokens > 0").dropDuplicates(["doc_id"]))
+    # of different rows of one doc_id the least by source and size
+    sized = cut(sized.where("n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("r")).select("doc_id", "r.source", "r.n_tokens"))
     # as many rows as targets at most
     tokens = {r["source"]: int(r["n"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     p = plan(wanted, tokens, total_tokens)
     schema = "doc_id long, source string, copy_no int, n_tokens int, shard int, position int"
     if not p:
         return spark.createDataFrame([], schema)
-    n_blocks = {s: max(1, min(MAX_BLOCKS, math.ceil(tokens[s] / block_tokens))) for s in p}
+    n_blocks = {s: max(1, math.ceil(tokens[s] / block_tokens)) for s in p}
     settings = spark.createDataFrame([(s, n_blocks[s], x["passes"], x["rest"]) for s, x in p.items()], "source string, n_blocks long, passes int, rest long")
     dealt = cut(sized.join(F.broadcast(settings), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks"))))
     order = lambda *c: F.xxhash64(F.lit(seed + 1), *c)
@@ -91,18 +113,10 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     part = blocks.where("rest > before").select("source", "block", (F.col("passes") + 1).alias("copy_no"), F.when(F.col("before") + F.col("tokens") > F.col("rest"), F.col("rest") - F.col("before")).alias("room"))
     units = cut(whole.unionByName(part))
     counts = {r["source"]: r["count"] for r in units.groupBy("source").count().collect()}
-    order_of = sorted(counts)
     shards = max(1, round(sum(x["quota"] for x in p.values()) / shard_tokens))
-    quotas = split_tree([counts[s] for s in order_of], shards, seed)
-    spans, at = [], dict.fromkeys(order_of, 1)
-    for shard, q in enumerate(quotas):
-        for s, n in zip(order_of, q, strict=True):
-            if n:
-                spans.append((s, at[s], at[s] + n - 1, shard))
-                at[s] += n
-    places = spark.createDataFrame(spans, "source string, lo int, hi int, shard int").select("source", F.explode(F.sequence("lo", "hi")).alias("rank"), "shard")
+    places = shard_spans(spark, counts, shards, seed).select("source", F.explode(F.sequence("lo", "hi")).alias("rank"), "shard")
     wu = W.Window.partitionBy("source").orderBy(order("source", "block", "copy_no", F.lit(3)), "block", "copy_no")
-    placed = units.withColumn("rank", F.row_number().over(wu)).join(places, ["source", "rank"]).select("source", "block", "copy_no", "room", "shard")
+    placed = units.withColumn("rank", F.row_number().over(wu).cast("long")).join(places, ["source", "rank"]).select("source", "block", "copy_no", "room", "shard")
     uses = dealt.select("doc_id", "source", "n_tokens", "block").join(placed, ["source", "block"])
     # the last block of a quota: documents in a permuted order while there is room
     wb = W.Window.partitionBy("source", "block").orderBy(order("doc_id", F.lit(5)), "doc_id")

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from vellum.llm.titles import edits
 from vellum.runtime import cut
 
-MAX_ROUNDS, MAX_GIVEN = 8, 20_000
+#: A given name stands beside at least this many words, and this part of what the most versatile one stands beside.
+GIVEN_LEAST, GIVEN_PART = 5, 20
 
 # Short forms of given names, each line a full form and what it is called.
 NICKNAMES = """alexander alex sandy al xander sasha
@@ -49,7 +50,7 @@ frederick fred freddie fritz
 gabriel gabe gab
 gertrude trudy gert gertie
 gregory greg gregg
-helena nell lena2
+helena nell
 henry hank harry hal
 hugo hugh
 isabella isabel bella izzy
@@ -150,18 +151,16 @@ def parse_author(name: str, given: dict[str, int] | frozenset) -> tuple[str, str
 
 
 def given_names(spellings: DataFrame) -> frozenset[str]:
-    """Words that stand beside many different words: given names. At most MAX_GIVEN."""
+    """Words that stand beside many different words: given names, a vocabulary of its own that new persons hardly widen."""
     words = F.filter(F.split(F.lower(F.regexp_replace("name", r"[^\p{L}\s]", " ")), r"\s+"), lambda w: F.length(w) > 2)
     # the position of the word beside it does not matter: pairs of neighbours within one name
-    rows = spellings.select(F.array_distinct(words).alias("w")).where(F.size("w").between(2, 6))
+    rows = spellings.select(F.array_distinct(words).alias("w")).where(F.size("w") >= 2)
     rows = rows.select("w", F.explode("w").alias("one")).select("one", F.explode("w").alias("other")).where("one <> other")
-    most = rows.groupBy("one").agg(F.countDistinct("other").alias("n")).where("n >= 5").orderBy(F.desc("n"), "one").limit(MAX_GIVEN).toArrow()
-    found = list(zip(most.column(0).to_pylist(), most.column(1).to_pylist(), strict=True))
-    if not found:
-        return frozenset(FORMAL.values())
+    beside = cut(rows.groupBy("one").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= GIVEN_LEAST))
     # a family name stands beside the few given names of one family, a given name beside families without number
-    top = found[0][1]
-    return frozenset(_letters(w) for w, n in found if n >= max(5, top // 20)) | frozenset(FORMAL.values())
+    top = beside.agg(F.max("n")).first()[0] or 0
+    found = beside.where(F.col("n") >= max(GIVEN_LEAST, top // GIVEN_PART)).select("one").toArrow().column(0).to_pylist()
+    return frozenset(_letters(w) for w in found) | frozenset(FORMAL.values())
 
 
 def nearest_given(first: str, given: frozenset[str]) -> str:
@@ -318,7 +317,7 @@ def group_spellings(spellings: DataFrame) -> DataFrame:
         return pa.array(out, pa.int32())
 
     state = cut(names.withColumn("parsed", parsed("kind", "name")).withColumn("grp", F.xxhash64("kind", "name")))
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round but the last leaves fewer profiles
         # the same parse in many spellings counts by its number of spellings
         profiles = state.groupBy("kind", "grp").agg(F.collect_list("parsed").alias("members"))
         keyed = cut(profiles.withColumn("keys", keys("kind", "members")))

@@ -32,6 +32,8 @@ from vellum.runtime import cut
 FREQUENT_SHARE, FREQUENT_LEAST = 1e-5, 8
 #: How many times as frequent as the misread form the right form must be.
 RATIO = 20
+#: Characters up to which a line is short.
+SHORT_LINE = 130
 #: Distinct strings a worker counts before it passes them on.
 COUNTER_LIMIT = 400_000
 
@@ -67,9 +69,8 @@ _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "c": "e
 
 def language_of(words: list[str]) -> str:
     best, most = "und", 0
-    head = words[:400]
     for lang, stops in STOPS.items():
-        n = sum(w in stops for w in head)
+        n = sum(w in stops for w in words)
         if n > most:
             best, most = lang, n
     return best
@@ -287,9 +288,9 @@ def _stands_alone(line: str, after: str, width: int) -> bool:
 
 
 def wrapped(lines: list[str]) -> bool:
-    """Whether a text is broken into the short lines of a printed page."""
+    """Whether a text is broken into the short lines of a printed page: they hold at least half of it."""
     sizes = [len(x) for x in lines if x.strip()]
-    return len(sizes) >= 2 and max(sizes) <= 130 and sum(sizes) >= 60
+    return len(sizes) >= 2 and sum(sizes) >= 60 and 2 * sum(n for n in sizes if n <= SHORT_LINE) >= sum(sizes)
 
 
 def examine(text: str, lex: Lexicon, repair: bool):
@@ -486,7 +487,8 @@ def scan_lines(results: DataFrame) -> DataFrame:
                         kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int64()), pa.array(kinds, pa.string())], names=["result_id", "line_no", "kind"])
 
-    short = F.length("text") <= 140 * (1 + F.regexp_count("text", F.lit("\n")))
+    # texts whose short lines cannot hold half of them
+    short = F.length(F.regexp_replace("text", r"\s+", " ")) <= 2 * (SHORT_LINE + 1) * (1 + F.regexp_count("text", F.lit("\n")))
     return results.select(F.col("result_id").cast("long").alias("result_id"), "text").where(short).mapInArrow(find, "result_id long, line_no long, kind string")
 
 
