@@ -9,7 +9,7 @@ needs only sums over its group; the copies of a value are then averaged. Each ro
 pairs, however large a group is. The values reached are the confidences.
 
 Defined results: null and empty fields speak neither for nor against; rows without title and DOI match nothing; titles that name no
-work match only together with an author's name or DOI; copies of a row (same id) are one row.
+work match only together with an author's name or DOI; copies of a row (same id) are one row; of unlike rows under one id the least counts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ from vellum.runtime import cut
 TITLE, AUTHOR, YEAR, DOI, PRIOR = 4.0, 2.0, 0.7, 2.5, 0.4
 NOT_TITLE, NOT_AUTHOR, NOT_YEAR, NOT_DOI = 6.0, 1.8, 0.7, 0.6
 EXCLUSIVE, TRANSITIVE = 4.0, 2.0
-RHO, ROUNDS, BELIEF = 1.0, 8, 0.5
+RHO, BELIEF = 1.0, 0.5
+#: Rounds go on, LEAST_ROUNDS at least, until no pair that still moves by more than SETTLED is near the line of belief; that it
+#: takes MOST_ROUNDS is an error.
+LEAST_ROUNDS, SETTLED, MOST_ROUNDS = 8, 0.01, 200
 
 _NOISE = frozenset("and others et al the de la von van".split())
 
@@ -107,14 +110,14 @@ def solve(pairs: DataFrame) -> DataFrame:
 
     # copies of one work on the left count as one match
     n_a = pairs.groupBy("b", "class_a").agg(F.count("*").alias("__na"))
-    state = pairs.join(n_a, ["b", "class_a"])
+    state = pairs.join(n_a.hint("merge"), ["b", "class_a"])
     state = state.withColumns({"cb": 1.0 / F.col("__na"), "z": unary("title", "author", "year", "doi", F.lit(0.5))}).drop("__na")
-    state = cut(state.withColumns({f"u{k}": F.lit(0.0) for k in range(3)}))
-    for _ in range(ROUNDS):
+    state = cut(state.withColumns({**{f"u{k}": F.lit(0.0) for k in range(3)}, "moved": F.lit(1.0)}))
+    for round_ in range(MOST_ROUNDS):
         v = [F.col("z") - F.col(f"u{k}") for k in range(3)]
         side_b = state.groupBy("b").agg(F.sum(F.col("cb") * v[1]).alias("sb"), F.sum(F.col("cb") * F.col("cb")).alias("qb"))
         group = state.groupBy("class_a", "class_b").agg(F.avg(v[2]).alias("mean"))
-        s = state.join(side_b, "b").join(group, ["class_a", "class_b"])
+        s = state.join(side_b.hint("merge"), "b").join(group.hint("merge"), ["class_a", "class_b"])
         pull = lambda total, square: F.greatest(F.lit(0.0), F.least(F.lit(EXCLUSIVE / RHO), (F.col(total) - 1.0) / F.col(square)))
         s = s.withColumns({
             "x0": unary("title", "author", "year", "doi", v[0]),
@@ -123,15 +126,24 @@ def solve(pairs: DataFrame) -> DataFrame:
         })
         s = s.withColumn("z1", sum((F.col(f"x{k}") + F.col(f"u{k}") for k in range(3)), F.lit(0.0)) / 3)
         s = s.withColumn("z1", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("z1"))))
+        # primal and dual residual of the pair
+        far = F.greatest(F.abs(F.col("z1") - F.col("z")), *(F.abs(F.col(f"x{k}") - F.col("z1")) for k in range(3)))
         moved = {f"u{k}": F.col(f"u{k}") + F.col(f"x{k}") - F.col("z1") for k in range(3)}
-        state = cut(s.withColumns(moved).withColumn("z", F.col("z1")).select(state.columns))
+        state = cut(s.withColumns({**moved, "moved": far}).withColumn("z", F.col("z1")).select(state.columns))
+        # a pair is settled when no further round can carry it over the line between match and no match
+        open_ = state.where((F.col("moved") > SETTLED) & (F.abs(F.col("z") - BELIEF) <= 3 * F.col("moved"))).limit(1).count()
+        if not open_ and round_ + 1 >= LEAST_ROUNDS:
+            break
+    else:
+        raise RuntimeError("the confidences did not settle")
     return state.withColumn("confidence", F.round("z", 6)).select(*pairs.columns, "confidence")
 
 
 def _side(rows: DataFrame) -> DataFrame:
     """One row per id: id, authors, year, doi, base, marks, generic, short, wid."""
     p = title_parts(F.col("title"))
-    r = rows.dropDuplicates(["id"]).withColumn("__p", p).withColumns({
+    one = rows.groupBy("id").agg(F.min(F.struct("title", "authors", F.col("year").cast("string").alias("year"), "doi")).alias("r")).select("id", "r.*")
+    r = one.withColumn("__p", p).withColumns({
         "doi": history.clean_doi(F.regexp_replace("doi", r"(?i)^\s*doi[:\s]+", "")), "base": F.coalesce("__p.base", F.lit("")), "marks": F.coalesce("__p.marks", F.lit("")),
         "generic": F.coalesce("__p.generic", F.lit(False)), "short": F.coalesce("__p.short", F.lit(False)),
     })
@@ -142,6 +154,17 @@ def _wordings(side: DataFrame) -> DataFrame:
     return cut(history.wordings_of(side.withColumn("ord", F.lit(0).cast("long"))))
 
 
+def _real_dois(side: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """(id as `name`, doi) of `side`, but for placeholders: DOIs under which both sides mostly have unlike titles."""
+    both = side.select("doi", "base").unionByName(other.select("doi", "base")).where("doi is not null")
+    first = both.where("base <> ''").groupBy("doi").agg(F.min("base").alias("first_base"))
+    met = both.join(first.hint("merge"), "doi", "left")
+    far = F.coalesce((F.col("base") != "") & (F.levenshtein("base", "first_base") > 0.6 * F.greatest(F.length("base"), F.length("first_base"))), F.lit(False))
+    # two rows that differ may be one with a DOI pasted wrongly
+    real = met.groupBy("doi").agg(F.avg(far.cast("double")).alias("share"), F.count("*").alias("n")).where("share < 0.4 or n <= 2").select("doi")
+    return side.where("doi is not null").join(real.hint("merge"), "doi", "left_semi").select(F.col("id").alias(name), "doi")
+
+
 def link(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, title, author, year, doi, confidence) of all candidate pairs of `left` and `right` (id, title, authors, year, doi)."""
     spark = left.sparkSession
@@ -151,21 +174,22 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     forest.weights(lw.unionByName(rw).dropDuplicates(["wid"]))
     forest.add(forest.signed(lw))
     near = forest.near(forest.signed(rw)).select(F.col("other").alias("lw"), F.col("wid").alias("rw"))
-    same = lw.select(F.col("wid").alias("lw")).join(rw.select(F.col("wid").alias("rw")), F.col("lw") == F.col("rw"))
+    same = lw.select(F.col("wid").alias("lw")).join(rw.select(F.col("wid").alias("rw")).hint("merge"), F.col("lw") == F.col("rw"))
     wordings = near.unionByName(same).distinct()
     a = lhs.select(F.col("id").alias("a"), F.col("wid").alias("lw"))
     b = rhs.select(F.col("id").alias("b"), F.col("wid").alias("rw"))
-    by_title = wordings.join(a, "lw").join(b, "rw").select("a", "b")
-    # identifiers; one that many rows share is a placeholder
-    few = lambda side: side.where("doi is not null").groupBy("doi").agg(F.count("*").alias("n"), F.count_distinct("wid").alias("w")).where("w <= 4").select("doi")
-    by_doi = lhs.join(few(lhs), "doi", "left_semi").select(F.col("id").alias("a"), "doi").join(rhs.join(few(rhs), "doi", "left_semi").select(F.col("id").alias("b"), "doi"), "doi").select("a", "b")
-    # titles that name no work: with an author in common
-    named = lambda side, name: side.where("generic and authors is not null").select(F.col("id").alias(name), "wid", "year", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("authors"), F.lit(r"(\p{L}{4,})"), F.lit(1)))).alias("word"))
-    by_name = named(lhs, "a").join(named(rhs, "b"), ["wid", "year", "word"]).select("a", "b")
+    by_title = wordings.hint("merge").join(a, "lw").hint("merge").join(b, "rw").select("a", "b")
+    by_doi = _real_dois(lhs, rhs, "a").join(_real_dois(rhs, lhs, "b").hint("merge"), "doi").select("a", "b")
+    # titles that name no work: with a word of the authors in common and years that are next to each other or unknown
+    y = F.col("year").try_cast("int")
+    near_years = F.when(y.isNull(), F.array(F.lit("*"), F.lit("?"))).otherwise(F.array((y - 1).cast("string"), y.cast("string"), (y + 1).cast("string"), F.lit("?")))
+    own_year = F.when(y.isNull(), F.array(F.lit("?"))).otherwise(F.array(y.cast("string"), F.lit("*")))
+    named = lambda side, name, years: side.where("generic and authors is not null").select(F.col("id").alias(name), "wid", F.explode(years).alias("year"), F.array_distinct(F.regexp_extract_all(F.lower("authors"), F.lit(r"(\p{L}{2,})"), F.lit(1))).alias("words")).select(name, "wid", "year", F.explode("words").alias("word"))
+    by_name = named(lhs, "a", near_years).join(named(rhs, "b", own_year).hint("merge"), ["wid", "year", "word"]).select("a", "b").distinct()
     pairs = by_title.unionByName(by_doi).unionByName(by_name).distinct()
     l = lhs.select(F.col("id").alias("a"), *[F.col(c).alias(f"l_{c}") for c in ("authors", "year", "doi", "base", "marks", "generic", "short", "wid")])
     r = rhs.select(F.col("id").alias("b"), *[F.col(c).alias(f"r_{c}") for c in ("authors", "year", "doi", "base", "marks", "generic", "short", "wid")])
-    full = pairs.join(l, "a").join(r, "b")
+    full = pairs.hint("merge").join(l, "a").hint("merge").join(r, "b")
 
     @F.arrow_udf("struct<title:double,author:double,year:double,doi:double>")
     def likeness(lb: pa.Array, rb: pa.Array, lm: pa.Array, rm: pa.Array, ls: pa.Array, rs: pa.Array, la: pa.Array, ra: pa.Array, ly: pa.Array, ry: pa.Array, ld: pa.Array, rd: pa.Array) -> pa.Array:
