@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 
+#: Rare pieces that two titles must have in common at once to meet.
+TOGETHER = 3
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in `order`. Partial aggregation on both sides of the shuffle, so a hot key is no hot task."""
@@ -14,10 +17,10 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.groupBy(*keys).agg(F.min_by(struct, F.struct(*order)).alias("__r")).select("__r.*")
 
 
-def richest_wins(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """One row per key: the one with the longest JSON, ties by the least id."""
+def richest_wins(df: DataFrame, keys: list[str], id_col: str, richness: Column | None = None) -> DataFrame:
+    """One row per key: the richest (that of the longest JSON unless `richness` says otherwise), ties by the least id."""
     struct = F.struct(*[F.col(c) for c in df.columns])
-    best = F.struct((-F.length(F.to_json(struct))).alias("n"), F.col(id_col))
+    best = F.struct((-(F.length(F.to_json(struct)) if richness is None else richness)).alias("n"), F.col(id_col))
     return df.groupBy(*keys).agg(F.min_by(struct, best).alias("__r")).select("__r.*")
 
 
@@ -32,12 +35,13 @@ def merged(rows: DataFrame, processed: DataFrame, key: str) -> DataFrame:
 
 
 def duplicate_reasons(new: DataFrame, history: DataFrame, key: str) -> DataFrame:
-    """(key, reason) of the rows of `new` that the history has: the strongest of id, doi, arxiv, title.
+    """(key, reason) of the rows of `new` that the history has: the strongest of id, doi, arxiv, url, pdf, title; url and pdf
+    where both tables have the column.
 
     Every test is an equality of its own, so each is a hash join; nulls and empty values match nothing.
     """
     low = lambda c: F.lower(F.trim(c))
-    tests = [("1 id", lambda: F.col("paper_id")), ("2 doi", lambda: low(F.col("doi"))), ("3 arxiv", lambda: low(F.col("arxiv_id"))), ("4 title", lambda: T.normalized_title(F.col("title")))]
+    tests = [("1 id", lambda: F.col("paper_id")), ("2 doi", lambda: low(F.col("doi"))), ("3 arxiv", lambda: low(F.col("arxiv_id"))), *((f"{n} {r}", lambda c=c: low(F.col(c))) for n, r, c in ((4, "url", "url"), (5, "pdf", "pdf_url")) if c in new.columns and c in history.columns), ("6 title", lambda: T.normalized_title(F.col("title")))]
     entries = lambda: F.explode(F.array(*(F.struct(F.lit(n).alias("test"), e().alias("value")) for n, e in tests)))
     a = new.select(key, entries().alias("t")).select(key, "t.*").where("value is not null and value <> ''")
     b = history.select(entries().alias("t")).select("t.*").where("value is not null and value <> ''").distinct()
@@ -47,13 +51,15 @@ def duplicate_reasons(new: DataFrame, history: DataFrame, key: str) -> DataFrame
 def near_titles(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
     """(a_id, b_id, similarity) of titles with title_similarity of at least `least`.
 
-    Lossless blocking. Overlap: with the pieces of each title in one global order, rarest first, two titles that share
-    the needed part of them share one among the first few of either; pieces are character pairs, or single characters where one
-    of the two titles is under 20 characters. Containment: the rarest four-character piece of the shorter title is in
-    the longer one; titles under four characters count as held by equality only. Inputs: id, title (normalised, not empty).
+    Lossless blocking. Overlap: with the pieces of each title in one global order, rarest first, two titles that share the
+    needed part of them share the same TOGETHER rarest common pieces among the first few of either, so they meet on such a
+    combination; pieces are character pairs, or single characters where one of the two titles is under 20 characters; titles
+    of fewer pieces must have the same. Containment: the rarest four-character piece of the shorter title is in the longer one; titles
+    under four characters count as held by equality only. Inputs: id, title (normalised, not empty).
     """
-    x = a.select(F.col("id").alias("a"), F.col("title").alias("t"))
-    y = b.select(F.col("id").alias("b"), F.col("title").alias("t"))
+    # each wording once: copies meet again at the end
+    x = a.select(F.col("title").alias("t")).distinct().select(F.xxhash64("t").alias("a"), "t")
+    y = b.select(F.col("title").alias("t")).distinct().select(F.xxhash64("t").alias("b"), "t")
     short = F.length("t") < 20
 
     def pieces(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -62,29 +68,35 @@ def near_titles(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
     def counts(n: int) -> DataFrame:
         return pieces(x, "a", n).select("g").unionByName(pieces(y, "b", n).select("g")).groupBy("g").count()
 
-    def ranked(df: DataFrame, key: str, n: int, order: DataFrame) -> DataFrame:
-        return pieces(df, key, n).join(order, "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("all"))
-
-    def first_few(df: DataFrame, key: str, n: int, order: DataFrame) -> DataFrame:
+    def combined(df: DataFrame, key: str, n: int, order: DataFrame) -> DataFrame:
+        ranked = pieces(df, key, n).join(order, "g").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "g"))), lambda p: p["g"]).alias("all"))
         size = F.size("all")
-        return ranked(df, key, n, order).select(key, F.explode(F.slice("all", F.lit(1), (size - F.ceil(F.lit(least) * size) + 1).cast("int"))).alias("p")).select(key, "p.g")
+        first = ranked.select(key, size.alias("size"), F.slice("all", F.lit(1), (size - F.ceil(F.lit(least) * size) + TOGETHER).cast("int")).alias("p"))
+        n_p = F.size("p")
+        upto = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+        at = lambda i: F.get(F.col("p"), i)
+        triples = F.flatten(F.transform(upto(F.lit(0), n_p - 3), lambda i: F.flatten(F.transform(upto(i + 1, n_p - 2), lambda j: F.transform(upto(j + 1, n_p - 1), lambda k: F.xxhash64(at(i), at(j), at(k)))))))
+        cells = F.when(F.col("size") < TOGETHER, F.array(F.xxhash64(F.array_join("p", "")))).otherwise(triples)
+        return first.select(key, F.col("size").alias(f"n_{key}"), F.explode(F.array_distinct(cells)).alias("cell"))
 
     two, one, four = counts(2), counts(1), counts(4)
-    met = first_few(x.where(~short), "a", 2, two).join(first_few(y.where(~short), "b", 2, two), "g").select("a", "b")
-    met = met.unionByName(first_few(x.where(short), "a", 1, one).join(first_few(y, "b", 1, one), "g").select("a", "b"))
-    met = met.unionByName(first_few(x.where(~short), "a", 1, one).join(first_few(y.where(short), "b", 1, one), "g").select("a", "b"))
-    rarest = lambda df, key: ranked(df, key, 4, four).select(key, F.col("all")[0]["g"].alias("g"))
-    met = met.unionByName(rarest(x, "a").join(pieces(y, "b", 4), "g").select("a", "b")).unionByName(rarest(y, "b").join(pieces(x, "a", 4), "g").select("a", "b"))
-    # every title's pieces once, not once a pair; pairs whose sizes rule the overlap out go first
-    def sides(df: DataFrame, key: str, p: str) -> DataFrame:
-        return df.select(key, F.col("t").alias(f"{p}t"), T.shingles(F.col("t"), 1).alias(f"{p}1"), T.shingles(F.col("t"), 2).alias(f"{p}2"))
-
-    full = met.distinct().join(sides(x, "a", "x"), "a").join(sides(y, "b", "y"), "b")
-    brief = F.least(F.length("xt"), F.length("yt")) < 20
-    full = full.select("a", "b", "xt", "yt", F.when(brief, F.col("x1")).otherwise(F.col("x2")).alias("p"), F.when(brief, F.col("y1")).otherwise(F.col("y2")).alias("q"))
+    fits = f"least(n_a, n_b) >= {least} * greatest(n_a, n_b)"
+    meet = lambda p, q: p.join(q.hint("merge"), "cell").where(fits).select("a", "b")
+    overlap = meet(combined(x.where(~short), "a", 2, two), combined(y.where(~short), "b", 2, two))
+    overlap = overlap.unionByName(meet(combined(x.where(short), "a", 1, one), combined(y, "b", 1, one)))
+    overlap = overlap.unionByName(meet(combined(x.where(~short), "a", 1, one), combined(y.where(short), "b", 1, one)))
+    titled = lambda met: met.distinct().join(x.select("a", F.col("t").alias("xt")).hint("merge"), "a").join(y.select("b", F.col("t").alias("yt")).hint("merge"), "b")
+    # whether one is in the other is tested before any piece is cut; what only overlaps needs no such test
+    rarest = lambda df, key: pieces(df, key, 4).join(four, "g").groupBy(key).agg(F.min_by("g", F.struct("count", "g")).alias("g"))
+    inside = rarest(x, "a").join(pieces(y, "b", 4).hint("merge"), "g").select("a", "b").unionByName(rarest(y, "b").join(pieces(x, "a", 4).hint("merge"), "g").select("a", "b"))
     held = F.contains(F.col("xt"), F.col("yt")) | F.contains(F.col("yt"), F.col("xt"))
-    full = full.withColumn("held", held).where(F.col("held") | (F.least(F.size("p"), F.size("q")) >= least * F.greatest(F.size("p"), F.size("q"))))
+    full = titled(overlap).unionByName(titled(inside).where(held)).distinct().withColumn("held", held)
+    brief = F.least(F.length("xt"), F.length("yt")) < 20
+    n = F.when(brief, F.lit(1)).otherwise(F.lit(2))
+    full = full.withColumns({"p": T.shingles(F.col("xt"), n), "q": T.shingles(F.col("yt"), n)})
     both = F.size(F.array_intersect("p", "q"))
     j = both / (F.size("p") + F.size("q") - both)
     score = F.when(F.col("xt") == F.col("yt"), F.lit(1.0)).when(F.col("held"), F.greatest(j, F.lit(0.92))).otherwise(j)
-    return full.withColumn("similarity", score).where(F.col("similarity") >= least).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "similarity")
+    near = full.withColumn("similarity", score).where(F.col("similarity") >= least).select("xt", "yt", "similarity")
+    out = near.hint("merge").join(a.select(F.col("id").alias("a_id"), F.col("title").alias("xt")), "xt")
+    return out.hint("merge").join(b.select(F.col("id").alias("b_id"), F.col("title").alias("yt")), "yt").select("a_id", "b_id", "similarity")

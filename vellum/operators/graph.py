@@ -67,16 +67,17 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 30) -> DataFrame:
-    """(hop, src, dst, type) of a shortest directed path, the least by node names among equals; no row if there is none."""
+def shortest_path(edges: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
+    """(hop, src, dst, type) of a shortest directed path, the least by node names among equals; no row if there is none of at most
+    `most` steps (any number)."""
     spark = edges.sparkSession
     step = edges.groupBy("src", "dst").agg(F.min("type").alias("type"))
     paths = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     seen = paths.select("id")
     found = None
-    for _ in range(most):
-        if start == end:
-            break
+    steps = 0
+    while start != end and (most is None or steps < most):
+        steps += 1
         grown = paths.join(step, paths["id"] == step["src"]).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         grown = grown.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
         paths = cut(grown)
@@ -117,7 +118,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     pairs = cut(pairs)
-    for _ in range(60):
+    while True:  # the labels only fall, so this ends
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -39,12 +39,71 @@ def equal_dates(left: DataFrame, right: DataFrame, kind: str, confidence: float)
     return _edges(a.join(b, "date"), "s", "d", kind, confidence)
 
 
-def shared_items(nodes: DataFrame, items: str, least: int, kind: str) -> DataFrame:
-    """Nodes that share at least `least` items of an array; confidence 0.5 and 0.1 for each, 0.9 at most."""
-    e = nodes.select("id", F.explode(F.array_distinct(F.transform(items, F.lower))).alias("item")).where("item <> ''")
-    a, b = e.alias("a"), e.alias("b")
-    met = a.join(b, F.col("a.item") == F.col("b.item")).where("a.id < b.id").groupBy(F.col("a.id").alias("s"), F.col("b.id").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return _edges(met, "s", "d", kind, F.least(F.lit(0.9), F.bround(0.5 + 0.1 * F.col("n"), 1)))
+def shared_items(nodes: DataFrame, items: Column | str, least: int, kind: str, most_listed: int = 5) -> DataFrame:
+    """Nodes that share at least `least` items of an array, src < dst, with the first `most_listed` shared ones; confidence 0.5 and 0.1
+    for each, 0.9 at most.
+
+    Nodes meet on rare items only: with the items of each in one order, rarest first, two nodes that share `least` of them
+    share one among all but the last `least - 1` of either. So the most frequent item of a node brings nobody together.
+    """
+    items = F.col(items) if isinstance(items, str) else items
+    own = nodes.select("id", F.array_distinct(F.filter(F.transform(items, F.lower), lambda x: x != "")).alias("items")).where(F.size("items") >= least)
+    e = own.select("id", F.explode("items").alias("item"))
+    spread = e.groupBy("item").agg(F.count("*").alias("n"))
+    ranked = e.join(spread, "item").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("ranked"))
+    keys = ranked.select("id", F.explode(F.slice("ranked", 1, F.size("ranked") - (least - 1))).alias("item"))
+    a, b = keys.select(F.col("id").alias("s"), "item"), keys.select(F.col("id").alias("d"), "item")
+    met = a.join(b, "item").where("s < d").select("s", "d").distinct()
+    full = met.join(own.select(F.col("id").alias("s"), F.col("items").alias("x")), "s").join(own.select(F.col("id").alias("d"), F.col("items").alias("y")), "d")
+    full = full.withColumn("both", F.array_sort(F.array_intersect("x", "y"))).where(F.size("both") >= least)
+    out = _edges(full.withColumn("n", F.size("both")), "s", "d", kind, F.least(F.lit(0.9), F.bround(0.5 + 0.1 * F.size("both"), 1)))
+    shared = full.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.slice("both", 1, most_listed).alias("shared"))
+    return out.join(shared, ["src", "dst"])
+
+
+def last_per_date(left: DataFrame, right: DataFrame, kind: str, confidence: float) -> DataFrame:
+    """left (id, date) to the last of right (id, date) of the same non-empty date."""
+    last = right.where("date is not null and date <> ''").groupBy("date").agg(F.max("id").alias("d"))
+    a = left.where("date is not null and date <> ''").select(F.col("id").alias("s"), "date")
+    return _edges(a.join(last, "date"), "s", "d", kind, confidence)
+
+
+def first_phrase(left: DataFrame, named: DataFrame, kind: str, confidence: float) -> DataFrame:
+    """left (id, text) to the first of named (id, phrase) whose phrase its text holds, ignoring case."""
+    p = named.select(F.col("id").alias("phrase_id"), "phrase")
+    met = phrases_in_texts(p, left.select(F.col("id").alias("text_id"), "text")).groupBy("text_id").agg(F.min("phrase_id").alias("d"))
+    return _edges(met, "text_id", "d", kind, confidence)
+
+
+def source_tokens(left: DataFrame, papers: DataFrame, kind: str, confidence: float) -> DataFrame:
+    """left (id, sources: array) to papers (id, title, authors): a word of a source, brackets removed, of more than two
+    characters, is in the title or the authors; one edge for each source and paper."""
+    words = F.filter(F.split(F.lower(F.regexp_replace("source", r"\([^)]*\)", "")), " "), lambda w: F.length(w) > 2)
+    s = left.select(F.col("id").alias("s"), F.explode(F.array_distinct("sources")).alias("source")).select("s", F.explode(F.array_distinct(words)).alias("phrase"))
+    texts = papers.select(F.col("id").alias("text_id"), F.concat_ws("\n", "title", "authors").alias("text"))
+    met = phrases_in_texts(s.select(F.col("phrase").alias("phrase_id"), "phrase").distinct(), texts).select(F.col("phrase_id").alias("phrase"), F.col("text_id").alias("d"))
+    return _edges(s.join(met, "phrase").select("s", "d").distinct(), "s", "d", kind, confidence)
+
+
+def wiki_references(left: DataFrame, known: DataFrame, kind: str, confidence: float) -> DataFrame:
+    """left (id, text) to the entry its first knowledge-base link names, where `known` (id) has it."""
+    ref = left.select(F.col("id").alias("s"), T.kb_reference(T.wiki_links(F.col("text"))).alias("d")).where("d is not null")
+    return _edges(ref.join(known.select(F.col("id").alias("d")), "d", "left_semi"), "s", "d", kind, confidence)
+
+
+def slug_members(items: DataFrame, wholes: DataFrame, kind: str, confidence: float) -> DataFrame:
+    """items (id `kind_slug_n`) to the first of wholes (id) whose id holds the slug."""
+    s = items.select(F.col("id").alias("s"), F.try_element_at(F.split("id", "_", 3), F.lit(2)).alias("slug")).where("length(slug) > 1")
+    met = phrases_in_texts(s.select(F.col("slug").alias("phrase_id"), F.col("slug").alias("phrase")).distinct(), wholes.select(F.col("id").alias("text_id"), F.col("id").alias("text")))
+    first = met.groupBy("phrase_id").agg(F.min("text_id").alias("d"))
+    return _edges(s.join(first, s["slug"] == first["phrase_id"]), "s", "d", kind, confidence)
+
+
+def similarity_edges(nearest: DataFrame, strong: float = 0.2) -> DataFrame:
+    """Edges of a similarity join (text_id, other, score): SEMANTIC_SIMILAR above `strong`, else WEAKLY_RELATED; confidence: the score
+    in hundredths."""
+    kind = F.when(F.col("score") > strong, "SEMANTIC_SIMILAR").otherwise("WEAKLY_RELATED")
+    return nearest.select(F.col("text_id").alias("src"), F.col("other").alias("dst"), kind.alias("type"), F.bround("score", 2).alias("confidence"))
 
 
 def explicit_references(nodes: DataFrame, refs: str, kind: str, confidence: float) -> DataFrame:

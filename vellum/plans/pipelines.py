@@ -9,13 +9,15 @@ from vellum.functions import text as T
 from vellum.operators import dedup, graph, links, quality, scoring
 
 
-def curated(candidates: DataFrame, seen: DataFrame, most: int = 5) -> DataFrame:
-    """The best new candidates: relevant, not in the history by any key, first of their title, by score."""
-    c = candidates.withColumn("score", scoring.relevance(F.col("title"), F.col("abstract"), F.col("year")))
+def curated(candidates: DataFrame, seen: DataFrame, read: int = 8, most: int = 5) -> DataFrame:
+    """The best new candidates: relevant (score over 0), not in the history by any key, first of their title; of the `read` best by
+    score, whose full texts are looked at, the `most` best."""
+    c = candidates.withColumn("score", scoring.relevance(F.col("title"), F.col("abstract"), F.col("year"))).where("score > 0")
     known = dedup.duplicate_reasons(c.select("cand_id", "paper_id", "doi", "arxiv_id", "title"), seen, "cand_id")
     fresh = c.join(known, "cand_id", "left_anti").withColumn("t", T.normalized_title(F.col("title")))
     one = dedup.first_wins(fresh.where("t <> ''"), ["t"], [F.col("cand_id")])
-    return one.select("cand_id", "title", "score").orderBy(F.desc("score"), "cand_id").limit(most)
+    full = one.orderBy(F.desc("score"), "cand_id").limit(read)
+    return full.select("cand_id", "title", "score").orderBy(F.desc("score"), "cand_id").limit(most)
 
 
 def ingested(results: DataFrame) -> DataFrame:
@@ -34,5 +36,5 @@ def knowledge_graph(papers: DataFrame, terms: DataFrame, directions: DataFrame,
     nodes = nodes.unionByName(directions.select(F.col("direction_id").alias("id"), F.lit("ResearchDirection").alias("entity_type"), F.col("name").alias("label")))
     nodes = nodes.unionByName(used.select(F.col("dst").alias("id"), F.lit("Method").alias("entity_type"), F.regexp_replace("dst", "^method_", "").alias("label")).distinct())
     texts = p.select(F.col("id").alias("text_id"), F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))).alias("text"))
-    edges = used.unionByName(links.introduces(t, texts)).unionByName(links.shared_items(p, "topics", 2, "SHARES_TOPIC")).unionByName(links.explicit_references(t, "related_terms", "RELATED_TO", 0.8)).unionByName(links.group_star(t, "category", "RELATED_TO", 0.3)).unionByName(links.group_star(p.withColumnRenamed("kb_date", "d"), "d", "FROM_SAME_DAILY", 0.5))
+    edges = used.unionByName(links.introduces(t, texts)).unionByName(links.shared_items(p, F.concat(F.coalesce("topics", F.array().cast("array<string>")), F.coalesce("methods", F.array().cast("array<string>"))), 2, "SHARES_TOPIC").drop("shared")).unionByName(links.explicit_references(t, "related_terms", "RELATED_TO", 0.8)).unionByName(links.group_star(t, "category", "RELATED_TO", 0.3)).unionByName(links.group_star(p.withColumnRenamed("kb_date", "d"), "d", "FROM_SAME_DAILY", 0.5))
     return nodes.dropDuplicates(["id"]), graph.valid_edges(nodes, graph.collapsed(edges))

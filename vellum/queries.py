@@ -94,19 +94,6 @@ def result_sections_detected(spark, d):
     return s.select("result_id", F.size("s").alias("n_sections"), "f.*")
 
 
-@query("seen_normalized_titles", r"""
-  select paper_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '\([^)]*\)', '', 'g'), '（[^）]*）', '', 'g'), '[:：—–\-]', ' ', 'g'), '[^a-z0-9一-鿿 ]', '', 'g'), '\b\d{4}\b', '', 'g'), ' +', ' ', 'g')) as norm_title
-  from seen_papers where regexp_matches(title, '^[\x20-\x7e]*$')""")
-def seen_normalized_titles(spark, d):
-    return table(spark, d, "seen_papers").where("title rlike '^[\\\\x20-\\\\x7e]*$'").select("paper_id", T.normalized_title(F.col("title")).alias("norm_title"))
-
-
-@query("seen_normalized_titles_whole")
-def seen_normalized_titles_whole(spark, d):
-    # every title; the SQL of seen_normalized_titles speaks of printable ASCII only
-    return table(spark, d, "seen_papers").select("paper_id", T.normalized_title(F.col("title")).alias("norm_title"))
-
-
 @query("doc_paths_redacted")
 def doc_paths_redacted(spark, d):
     t = table(spark, d, "documents").where("text is not null")
@@ -157,17 +144,6 @@ def cand_fixed_tags(spark, d):
     return table(spark, d, "candidates").select("cand_id", F.array_join(scoring.fixed_tags(F.col("title"), F.col("abstract"), F.col("keywords")), ",").alias("tags"))
 
 
-@query("cand_selection_funnel")
-def cand_selection_funnel(spark, d):
-    c = table(spark, d, "candidates")
-    return stats.selection_funnel(c.withColumn("score", scoring.relevance(F.col("title"), F.col("abstract"), F.col("year"))))
-
-
-@query("cand_curated_topk")
-def cand_curated_topk(spark, d):
-    return pipelines.curated(table(spark, d, "candidates"), table(spark, d, "seen_papers"))
-
-
 # --- duplicates and state ---
 
 
@@ -179,8 +155,7 @@ def doc_first_wins(spark, d):
 @query("papers_richest_wins", "select id from (select id, k, row_number() over (partition by k order by length(coalesce(summary, '')) desc, id) r from (select distinct id, substring(title, 1, 60) k, summary from papers where title is not null)) where r = 1")
 def papers_richest_wins(spark, d):
     p = table(spark, d, "papers").where("title is not null").select("id", F.substring("title", 1, 60).alias("k"), "summary").distinct()
-    best = p.groupBy("k").agg(F.min_by("id", F.struct(-F.length(F.coalesce("summary", F.lit(""))), "id")).alias("id"))
-    return best.select("id")
+    return dedup.richest_wins(p, ["k"], "id", F.length(F.coalesce("summary", F.lit("")))).select("id")
 
 
 @query("cand_unseen", "select cand_id from candidates where paper_id is null or paper_id not in (select paper_id from seen_papers where paper_id is not null)")
@@ -188,21 +163,6 @@ def cand_unseen(spark, d):
     return dedup.unseen(table(spark, d, "candidates"), table(spark, d, "seen_papers"), "paper_id").select("cand_id")
 
 
-@query("cand_duplicate_reason", r"""
-  with s as (select paper_id, lower(trim(doi)) doi, lower(trim(arxiv_id)) arxiv_id from seen_papers)
-  select cand_id, case when paper_id <> '' and paper_id in (select paper_id from s where paper_id is not null) then 'id' when lower(trim(doi)) <> '' and lower(trim(doi)) in (select doi from s where doi is not null) then 'doi' else 'arxiv' end as reason from candidates
-  where (paper_id <> '' and paper_id in (select paper_id from s where paper_id is not null)) or (lower(trim(doi)) <> '' and lower(trim(doi)) in (select doi from s where doi is not null)) or (lower(trim(arxiv_id)) <> '' and lower(trim(arxiv_id)) in (select arxiv_id from s where arxiv_id is not null))""")
-def cand_duplicate_reason(spark, d):
-    none = F.lit(None).cast("string")
-    return dedup.duplicate_reasons(table(spark, d, "candidates").withColumn("title", none), table(spark, d, "seen_papers").withColumn("title", none), "cand_id")
-
-
-@query("cand_duplicate_reason_whole")
-def cand_duplicate_reason_whole(spark, d):
-    # with equal normalised titles, which the SQL of cand_duplicate_reason does not test; near ones are in cand_near_titles
-    return dedup.duplicate_reasons(table(spark, d, "candidates"), table(spark, d, "seen_papers"), "cand_id")
-
-
 @query("cand_near_titles")
 def cand_near_titles(spark, d):
     n = lambda df, i: df.select(F.col(i).alias("id"), T.normalized_title(F.col("title")).alias("title")).where("title <> ''")
@@ -225,7 +185,7 @@ def papers_same_day(spark, d):
 
 @query("papers_shared_topics", "with e as (select distinct id, lower(unnest(topics)) t from papers) select a.id as src, b.id as dst, 'SHARES_TOPIC' as type, cast(least(0.9, round_even(0.5 + 0.1 * count(*), 1)) as double) as confidence from e a join e b on a.t = b.t and a.id < b.id where a.t <> '' group by 1, 2 having count(*) >= 2")
 def papers_shared_topics(spark, d):
-    return links.shared_items(table(spark, d, "papers").select("id", "topics").distinct(), "topics", 2, "SHARES_TOPIC")
+    return links.shared_items(table(spark, d, "papers").select("id", "topics").distinct(), "topics", 2, "SHARES_TOPIC").drop("shared")
 
 
 @query("terms_explicit_refs", "select distinct id as src, r as dst, 'RELATED_TO' as type, cast(0.8 as double) as confidence from (select id, unnest(related_terms) r from terms) where r in (select id from terms) and id <> r")
@@ -302,11 +262,6 @@ def graph_isolation(spark, d):
     return graph.isolation(*_tpc_graph(spark, d))
 
 
-@query("graph_search", f"with {_NODES}, {_EDGES}, {_DEG} select id, entity_type, label, cast(coalesce(n, 0) as bigint) as degree from nodes left join deg using (id) where contains(lower(concat_ws(' ', id, label)), 'an') order by degree desc, id limit 20")
-def graph_search(spark, d):
-    return graph.search(*_tpc_graph(spark, d), "an", ["id", "label"])
-
-
 @query("graph_neighbours", f"with {_EDGES} select dst as id, type, cast(1 as double) as confidence from edges where src = 'n1'")
 def graph_neighbours(spark, d):
     return graph.neighbours(_tpc_graph(spark, d)[1], "n1")
@@ -358,17 +313,6 @@ def graph_valid_edges(spark, d):
     return graph.valid_edges(nodes, e).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("graph_components")
-def graph_components(spark, d):
-    nodes, edges = _tpc_graph(spark, d)
-    return graph.components(nodes, edges)
-
-
-@query("graph_stats")
-def graph_stats(spark, d):
-    return graph.stats(*_tpc_graph(spark, d))
-
-
 @query("graph_health")
 def graph_health(spark, d):
     return graph.health(*_tpc_graph(spark, d), ["Supplier", "Customer", "Nation", "Region"])
@@ -385,11 +329,6 @@ def export_mermaid(spark, d):
     return sinks.mermaid_lines(*_tpc_graph(spark, d))
 
 
-@query("export_canvas")
-def export_canvas(spark, d):
-    return sinks.canvas_layout(*_tpc_graph(spark, d))
-
-
 # --- similarity ---
 
 
@@ -464,3 +403,6 @@ def doc_chunk_lines(spark, d):
 def event_window_counts(spark, d):
     e = table(spark, d, "events")
     return e.groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+import vellum.more_queries  # noqa: E402, F401  registers further queries
