@@ -309,6 +309,28 @@ def export_canvas(spark, d):
     return sinks.canvas_layout(*_tpc_graph(spark, d))
 
 
+# --- report ---
+
+
+@query("cand_report_sections", f"""
+  with c as (select cand_id, coalesce(title, '') t, coalesce(keywords, '') k, coalesce(reading_level, '') l, coalesce(pdf_url, '') p, {_SCORE} score from candidates),
+  part as (select '3 selected' section, 5 m, * from c where score > 0 union all select '4 read', 20, * from c where l in ('PDF_TEXT_FULL', 'HUMAN_CONFIRMED') union all select '5 next', 10, * from c where score >= 40 and p <> '' union all select '6 queue', 10, * from c where score >= 25 and p = '' union all select '7 left out', 15, * from c where score = 0),
+  r as (select *, row_number() over (partition by section order by score desc, cand_id) as ord from part)
+  select '1 overview' as section, cast(1 as bigint) as ord, count(*) || ' found, ' || count(*) filter (score > 0) || ' relevant, ' || count(*) filter (l = 'PDF_TEXT_FULL') || ' in full' as line from c
+  union all select '2 by query', row_number() over (order by count(*) desc, k), k || ': ' || count(*) from c group by k union all select '8 by level', row_number() over (order by count(*) desc, l), l || ': ' || count(*) from c group by l
+  union all select section, ord, cand_id || ' | ' || score || ' | ' || t from r where ord <= m""")
+def cand_report_sections(spark, d):
+    from vellum.operators import scoring
+
+    c = table(spark, d, "candidates").withColumn("score", scoring.relevance(F.col("title"), F.col("abstract"), F.col("year")).cast("int"))
+    return sinks.report_sections(c)
+
+
+@query("paper_dated_entries", "with p as (select distinct id, title, summary, kb_date d from papers where kb_date <> '') select d as date, cast(0 as bigint) as ord, '## ' || d as line from (select distinct d from p) union all select d, row_number() over (partition by d order by id), '### ' || id || ' ' || coalesce(title, '') || chr(10) || '- **summary:** ' || coalesce(summary, '') from p")
+def paper_dated_entries(spark, d):
+    return sinks.dated_entries(table(spark, d, "papers").select("id", "title", "summary", F.col("kb_date").alias("date")).distinct())
+
+
 # --- texts again ---
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from vellum.functions.text import tokens
 
@@ -40,14 +42,44 @@ def nearest(left: DataFrame, right: DataFrame, least: float = 0.03, most_df_shar
     return best.select("text_id", "b.other", "b.score")
 
 
+#: Vectors of one block of the product.
+BLOCK = 4096
+
+
 def dense_cosine(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
-    """(query, other, score): the `k` rows (vec_id, embedding) most like each query, by exact cosine. `queries` is meant to be small
-    against `rows`; each partition of rows keeps its own best k before the shuffle."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("qe"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("qn"))
-    r = rows.select(F.col("vec_id").alias("other"), "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("rn"))
-    met = r.join(q, F.col("query") != F.col("other")).select("query", "other", (dot(F.col("qe"), F.col("embedding")) / (F.col("qn") * F.col("rn"))).alias("score"))
-    from pyspark.sql import window as W
+    """(query, other, score, rank): the `k` rows (vec_id, embedding) most like each query, by exact cosine, ties by the least id.
+
+    A product in blocks: queries and rows are dealt into blocks of about BLOCK vectors, every block of queries meets every block of
+    rows in a task of its own, which holds two blocks and keeps the best `k` a query; the best of all blocks follow. Null
+    embeddings and those without length meet nobody.
+    """
+    q = queries.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    r = rows.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    nq, nr = (max(1, -(-df.count() // BLOCK)) for df in (q, r))
+    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
+    left, right = dealt(q, "qb", nq, "rb", nr), dealt(r, "rb", nr, "qb", nq)
+
+    def best(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        import numpy as np
+
+        def unit(t: pa.Table):
+            ids = np.asarray(t.column("vec_id").to_numpy(), "int64")
+            x = np.array(t.column("embedding").to_pylist(), "float64").reshape(len(ids), -1)
+            n = np.sqrt((x * x).sum(axis=1)) if len(ids) else np.zeros(0)
+            return ids[n > 0], x[n > 0] / n[n > 0][:, None] if len(ids) else x
+
+        ids, x = unit(a)
+        others, y = unit(b)
+        out = [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
+        if len(ids) and len(others):
+            s = np.round(x @ y.T, 12)
+            s[ids[:, None] == others[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(others, s.shape), -s), axis=1)[:, :k]
+            score = np.take_along_axis(s, order, axis=1)
+            keep = np.isfinite(score)
+            out = [np.repeat(ids, order.shape[1]).reshape(order.shape)[keep], others[order][keep], score[keep]]
+        return pa.table({"query": pa.array(out[0], pa.int64()), "other": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
+    met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(best, "query long, other long, score double")
     w = W.Window.partitionBy("query").orderBy(F.desc("score"), "other")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "other", "score", "rank")

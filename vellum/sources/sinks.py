@@ -109,3 +109,52 @@ def append_seen(new: DataFrame, path: str) -> None:
 def replace_day(rows: DataFrame, path: str) -> None:
     """Writes a day's rows over the partition of that date, leaving the others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines."""
+    rows.write.mode("append").json(path)
+
+
+def append_index(rows: DataFrame, path: str) -> None:
+    """Adds rows to an index of CSV files with a header."""
+    rows.write.mode("append").option("header", "true").csv(path)
+
+
+def log_day(rows: DataFrame, path: str) -> None:
+    """Writes the log row of each date (date, ...) over the one there was; other dates stay."""
+    replace_day(rows, path)
+
+
+def dated_entries(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(date, ord, line) of entries (date, id, title, summary) under `## date`; the heading is left out where `existing` (date) has the
+    section already."""
+    rows = new.where("date is not null and date <> ''")
+    w = W.Window.partitionBy("date").orderBy("id")
+    body = rows.withColumn("ord", F.row_number().over(w)).select("date", F.col("ord").cast("long").alias("ord"), F.format_string("### %s %s\n- **summary:** %s", "id", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))).alias("line"))
+    heads = rows.select("date").distinct()
+    if existing is not None:
+        heads = heads.join(existing.select("date").distinct(), "date", "left_anti")
+    return heads.select("date", F.lit(0).cast("long").alias("ord"), F.concat(F.lit("## "), "date").alias("line")).unionByName(body)
+
+
+def reading_queue(papers: DataFrame, most_chars: int = 80_000) -> DataFrame:
+    """(id, json) of papers (id, title, text) to be read in depth, at most `most_chars` characters of each text, as the queue's format has it."""
+    return papers.select("id", F.to_json(F.struct("id", "title", F.substring("text", 1, most_chars).alias("text"), F.length("text").alias("chars"))).alias("json"))
+
+
+def report_sections(candidates: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """(section, ord, line): the eight sections of a day's report on candidates (cand_id, title, keywords, score, reading_level, reason,
+    pdf_url). Each is a table of its own; `most` has the rows of a section (fixed values of the format by default)."""
+    most = {"3 selected": 5, "4 read": 20, "5 next": 10, "6 queue": 10, "7 left out": 15} | (most or {})
+    title = F.coalesce("title", F.lit(""))
+    total = candidates.agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("r"), F.count_if(F.col("reading_level") == "PDF_TEXT_FULL").alias("f"))
+    out = total.select(F.lit("1 overview").alias("section"), F.lit(1).cast("long").alias("ord"), F.format_string("%d found, %d relevant, %d in full", "n", "r", "f").alias("line"))
+    counted = lambda name, c: candidates.groupBy(F.coalesce(c, F.lit("")).alias("k")).agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), F.row_number().over(W.Window.orderBy(F.desc("n"), "k")).cast("long").alias("ord"), F.format_string("%s: %d", "k", "n").alias("line"))
+    out = out.unionByName(counted("2 by query", "keywords")).unionByName(counted("8 by level", "reading_level"))
+    parts = {"3 selected": F.col("score") > 0, "4 read": F.col("reading_level").isin("PDF_TEXT_FULL", "HUMAN_CONFIRMED"), "5 next": (F.col("score") >= 40) & (F.coalesce("pdf_url", F.lit("")) != ""), "6 queue": (F.col("score") >= 25) & (F.coalesce("pdf_url", F.lit("")) == ""), "7 left out": F.col("score") == 0}
+    for name, which in parts.items():
+        top = candidates.where(which).orderBy(F.desc("score"), "cand_id").limit(most[name])
+        ord_ = F.row_number().over(W.Window.orderBy(F.desc("score"), "cand_id")).cast("long")
+        out = out.unionByName(top.select(F.lit(name).alias("section"), ord_.alias("ord"), F.format_string("%s | %d | %s", F.col("cand_id").cast("string"), "score", title).alias("line")))
+    return out
