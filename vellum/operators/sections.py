@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from vellum.functions.text import lines, strip
 
@@ -43,9 +42,9 @@ STRICT = {
 }
 
 
-def heading_of(line: Column) -> Column:
-    """Section that a line begins, else null."""
-    t = F.lower(strip(line))
+def heading_of(line: Column, even: bool = False) -> Column:
+    """Section that a line begins, else null. `even`: the line is stripped and in lower case already."""
+    t = line if even else F.lower(strip(line))
     out = F.lit(None).cast("string")
     for name, words in reversed(HEADINGS.items()):
         out = F.when(t.isin(words), F.lit(name)).otherwise(out)
@@ -53,13 +52,19 @@ def heading_of(line: Column) -> Column:
 
 
 def split_sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, section, body): lines between headings; `preamble` before the first; the last of equal headings wins; empty ones are dropped."""
-    rows = df.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("head", heading_of(F.col("line")))
-    w = W.Window.partitionBy(key).orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"segment": F.sum(F.col("head").isNotNull().cast("int")).over(w), "section": F.coalesce(F.last("head", ignorenulls=True).over(w), F.lit("preamble"))})
-    body = rows.where("head is null").groupBy(key, "segment", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    last = body.groupBy(key, "section").agg(F.max_by("body", "segment").alias("body"))
-    return last.select(key, "section", strip(F.col("body")).alias("body"))
+    """(key, section, body): lines between headings; `preamble` before the first; the last of equal headings wins; empty ones are dropped.
+
+    Each text is cut where it stands: no row is shuffled, however many lines it has.
+    """
+    rows = df.select(key, lines(F.col(text)).alias("ls")).withColumn("low", F.transform("ls", lambda x: F.lower(strip(x))))
+    marked = F.filter(F.transform("low", lambda x, i: F.struct(i.alias("i"), heading_of(x, True).alias("head"))), lambda c: c["head"].isNotNull())
+    rows = rows.select(key, "ls", F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("preamble").alias("head"))), marked).alias("cuts"))
+    upto = lambda j: F.coalesce(F.get(F.col("cuts"), j + 1)["i"], F.size("ls"))
+    parts = F.filter(F.transform("cuts", lambda c, j: F.struct(c["head"].alias("section"), (c["i"] + 2).alias("from"), (upto(j) - c["i"] - 1).alias("n"))), lambda p: p["n"] > 0)
+    rows = rows.select(key, "ls", parts.alias("parts"))
+    last = F.filter("parts", lambda p, j: ~F.exists(F.slice("parts", j + 2, F.greatest(F.size("parts") - j - 1, F.lit(0))), lambda q: q["section"] == p["section"]))
+    out = rows.select(key, "ls", F.explode(last).alias("p"))
+    return out.select(key, "p.section", strip(F.array_join(F.slice("ls", F.col("p.from"), F.col("p.n")), "\n")).alias("body"))
 
 
 def _first_like(marked: Column, pattern: str) -> Column:
