@@ -281,6 +281,15 @@ def docs_concept_links(spark, d):
     return C.keyword_targets(docs, table(spark, d, "research_directions").select(F.col("direction_id").alias("id"), "name"), _CONCEPTS, "CONCEPT_LINK", 0.4)
 
 
+@query("whole_graph_types")
+def whole_graph_types(spark, d):
+    from vellum.plans import pipelines
+    from vellum.queries import METHODS
+
+    records = table(spark, d, "reading_list").groupBy(F.concat(F.lit("R-"), F.col("item_id").cast("string")).alias("id")).agg(F.min("title").alias("title"), F.min("date").alias("date"))
+    return graph.type_counts(*pipelines.knowledge_graph(table(spark, d, "papers"), table(spark, d, "terms"), table(spark, d, "research_directions"), METHODS, records))
+
+
 # --- graph figures ---
 
 
@@ -309,6 +318,26 @@ def export_canvas(spark, d):
     return sinks.canvas_layout(*_tpc_graph(spark, d))
 
 
+@query("graph_health", f"""with {_NODES}, {_EDGES}, {_DEG}, iso as (select entity_type, count(*) n, count(*) filter (where d.n is null) i from nodes left join deg d using (id) group by 1),
+  found as (select 'isolated_type' as kind, entity_type as subject, 'anomaly' as level from iso where i * 1000 // n > 500
+    union all select distinct 'unknown_type', entity_type, 'anomaly' from nodes where entity_type not in ('Supplier', 'Customer', 'Nation')
+    union all select 'empty_label', cast(count(*) as varchar), 'anomaly' from nodes where label is null or label = '' having count(*) > 0
+    union all select 'isolation', 'all', case when sum(i) * 5 > sum(n) then 'critical' else 'warning' end from iso having sum(i) * 10 > sum(n)
+    union all select 'sparse', 'all', 'anomaly' where (select count(*) from edges) < (select count(*) from nodes))
+  select * from found union all select 'overall', 'all', case when count(*) filter (level = 'critical') > 0 then 'RED' when count(*) filter (level <> 'critical') >= 3 then 'YELLOW' else 'GREEN' end from found""")
+def graph_health(spark, d):
+    # regions are not among the known types here
+    return graph.health(*_tpc_graph(spark, d), ["Supplier", "Customer", "Nation"])
+
+
+@query("export_mermaid", rf"""with {_NODES}, {_EDGES}, {_DEG}, t as (select id, label, row_number() over (order by coalesce(n, 0) desc, id) k from nodes left join deg using (id) qualify k <= 80),
+  e as (select a.k a, b.k b, e.type, row_number() over (order by e.src, e.dst, e.type) r from edges e join t a on a.id = e.src join t b on b.id = e.dst qualify r <= 200)
+  select cast(0 as bigint) as ord, 'graph LR' as line union all select k, '  n' || k || '["' || substring(regexp_replace(coalesce(label, id), '["\[\]{{}}()<>|#;`
+]', ' ', 'g'), 1, 40) || '"]' from t union all select 1000000 + r, '  n' || a || ' -->|' || type || '| n' || b from e""")
+def export_mermaid(spark, d):
+    return sinks.mermaid_lines(*_tpc_graph(spark, d))
+
+
 # --- report ---
 
 

@@ -26,8 +26,8 @@ def ingested(results: DataFrame) -> DataFrame:
     return quality.judged(cleaned).distinct()
 
 
-def knowledge_graph(papers: DataFrame, terms: DataFrame, directions: DataFrame, methods: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of papers, terms, directions and methods. Nodes are deduplicated by what names them, the richest row wins."""
+def knowledge_graph(papers: DataFrame, terms: DataFrame, directions: DataFrame, methods: dict[str, str], records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of papers, terms, directions, methods and, if given, reading records (id, title, date). Nodes are deduplicated by what names them, the richest row wins."""
     p = dedup.richest_wins(papers.where("title is not null and title <> ''").withColumn("k", F.substring("title", 1, 60)), ["k"], "id").drop("k")
     t = dedup.richest_wins(terms.where("english is not null or chinese is not null").withColumn("k", F.coalesce("english", "chinese")), ["k"], "id").drop("k")
     used = links.uses_method(p, methods)
@@ -37,4 +37,13 @@ def knowledge_graph(papers: DataFrame, terms: DataFrame, directions: DataFrame,
     nodes = nodes.unionByName(used.select(F.col("dst").alias("id"), F.lit("Method").alias("entity_type"), F.regexp_replace("dst", "^method_", "").alias("label")).distinct())
     texts = p.select(F.col("id").alias("text_id"), F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))).alias("text"))
     edges = used.unionByName(links.introduces(t, texts)).unionByName(links.shared_items(p, F.concat(F.coalesce("topics", F.array().cast("array<string>")), F.coalesce("methods", F.array().cast("array<string>"))), 2, "SHARES_TOPIC").drop("shared")).unionByName(links.explicit_references(t, "related_terms", "RELATED_TO", 0.8)).unionByName(links.group_star(t, "category", "RELATED_TO", 0.3)).unionByName(links.group_star(p.withColumnRenamed("kb_date", "d"), "d", "FROM_SAME_DAILY", 0.5))
-    return nodes.dropDuplicates(["id"]), graph.valid_edges(nodes, graph.collapsed(edges))
+    edges = edges.unionByName(links.source_tokens(t, p, "DERIVED_FROM", 0.7))
+    named = directions.select(F.col("direction_id").alias("id"), F.col("name").alias("phrase"))
+    edges = edges.unionByName(links.first_phrase(texts.select(F.col("text_id").alias("id"), "text"), named, "GOVERNED_BY", 0.4))
+    if records is not None:
+        nodes = nodes.unionByName(records.select("id", F.lit("ReadingRecord").alias("entity_type"), F.col("title").alias("label")))
+        edges = edges.unionByName(links.first_title_prefix(records.select("id", F.col("title").alias("text")), p, "RECORDS", 0.8))
+        edges = edges.unionByName(links.last_per_date(records.select("id", "date"), p.select("id", F.col("kb_date").alias("date")), "FROM_DAILY", 0.7))
+    # copies of a node: the first by type and label
+    nodes = nodes.groupBy("id").agg(F.min(F.struct("entity_type", "label")).alias("r")).select("id", "r.*")
+    return nodes, graph.valid_edges(nodes, graph.collapsed(edges))

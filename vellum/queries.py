@@ -313,22 +313,12 @@ def graph_valid_edges(spark, d):
     return graph.valid_edges(nodes, e).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("graph_health")
-def graph_health(spark, d):
-    return graph.health(*_tpc_graph(spark, d), ["Supplier", "Customer", "Nation", "Region"])
-
-
 @query("knowledge_graph_degree")
 def knowledge_graph_degree(spark, d):
     nodes, edges = pipelines.knowledge_graph(table(spark, d, "papers"), table(spark, d, "terms"), table(spark, d, "research_directions"), METHODS)
     return graph.degrees(nodes, edges)
 
 
-@query("export_mermaid")
-def export_mermaid(spark, d):
-    return sinks.mermaid_lines(*_tpc_graph(spark, d))
-
-
 # --- similarity ---
 
 
