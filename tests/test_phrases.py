@@ -28,3 +28,10 @@ def test_docs_governed_by_first_phrase_without_broadcast(spark):
     named = spark.createDataFrame([("w3", "soil loss"), ("w2", "Gully Head"), ("w1", "gully head"), ("w4", "snow")], "id string, phrase string")
     rows, sent = collected(links.first_phrase(docs, named, "G", 0.4))
     assert [(r["src"], r["dst"]) for r in rows] == [("d1", "w1")] and not sent
+
+
+def test_records_title_prefix_without_broadcast(spark):
+    records = spark.createDataFrame([("r1", "On a robust assessment of soil loss in the hills"), ("r2", "robust")], "id string, text string")
+    papers = spark.createDataFrame([("p2", "A robust assessment of soil loss in the plains"), ("p1", "A ROBUST assessment of soil losses"), ("p0", "short one")], "id string, title string")
+    rows, sent = collected(links.first_title_prefix(records, papers, "R", 0.8))
+    assert [(r["src"], r["dst"]) for r in rows] == [("r1", "p1")] and not sent
