@@ -35,3 +35,11 @@ def test_records_title_prefix_without_broadcast(spark):
     papers = spark.createDataFrame([("p2", "A robust assessment of soil loss in the plains"), ("p1", "A ROBUST assessment of soil losses"), ("p0", "short one")], "id string, title string")
     rows, sent = collected(links.first_title_prefix(records, papers, "R", 0.8))
     assert [(r["src"], r["dst"]) for r in rows] == [("r1", "p1")] and not sent
+
+
+def test_store_duplicates_without_broadcast(spark):
+    long = "mapping soil loss in the upper basin of a small river"
+    new = spark.createDataFrame([(1, None, long), (2, "10.1/X", "one"), (3, "10.1/x", "two"), (4, "", "three"), (5, None, f"{long} with drones")], "cand_id int, doi string, title string")
+    store = spark.createDataFrame([("a", " 10.1/X", "zero"), ("b", "", "Three"), ("c", None, f"again {long}")], "id string, doi string, title string")
+    rows, sent = collected(curation.store_duplicates(new, store, "cand_id"))
+    assert {r["cand_id"]: r["reason"] for r in rows} == {1: "held", 2: "doi", 4: "title"} and not sent

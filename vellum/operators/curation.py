@@ -49,14 +49,14 @@ def store_duplicates(new: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     equal normalised title; or, both longer than 40 characters, one held by the other. The strongest reason counts."""
     norm = lambda df, i: df.select(F.col(i).alias("k"), F.trim("doi").alias("doi"), T.normalized_title(F.col("title")).alias("t"))
     a, b = norm(new, key), norm(entries, "id")
-    doi = a.where("doi <> ''").join(b.where("doi <> ''").select("doi").distinct(), "doi", "left_semi").select("k", F.lit("1 doi").alias("r"))
-    title = a.where("t <> ''").join(b.where("t <> ''").select("t").distinct(), "t", "left_semi").select("k", F.lit("2 title").alias("r"))
+    doi = a.where("doi <> ''").join(b.where("doi <> ''").select("doi").distinct().hint("merge"), "doi", "left_semi").select("k", F.lit("1 doi").alias("r"))
+    title = a.where("t <> ''").join(b.where("t <> ''").select("t").distinct().hint("merge"), "t", "left_semi").select("k", F.lit("2 title").alias("r"))
     long_a, long_b = a.where("length(t) > 40"), b.where("length(t) > 40")
     text = lambda df: df.select(F.col("t").alias("text_id"), F.col("t").alias("text")).distinct()
     phrase = lambda df: df.select(F.col("t").alias("phrase_id"), F.col("t").alias("phrase")).distinct()
     inside = phrases_in_texts(phrase(long_a), text(long_b)).select(F.col("phrase_id").alias("t"))
     around = phrases_in_texts(phrase(long_b), text(long_a)).select(F.col("text_id").alias("t"))
-    held = long_a.join(inside.unionByName(around).distinct(), "t", "left_semi").select("k", F.lit("3 held").alias("r"))
+    held = long_a.join(inside.unionByName(around).distinct().hint("merge"), "t", "left_semi").select("k", F.lit("3 held").alias("r"))
     return doi.unionByName(title).unionByName(held).groupBy("k").agg(F.substring(F.min("r"), 3, 10).alias("reason")).withColumnRenamed("k", key)
 
 
