@@ -43,3 +43,11 @@ def test_store_duplicates_without_broadcast(spark):
     store = spark.createDataFrame([("a", " 10.1/X", "zero"), ("b", "", "Three"), ("c", None, f"again {long}")], "id string, doi string, title string")
     rows, sent = collected(curation.store_duplicates(new, store, "cand_id"))
     assert {r["cand_id"]: r["reason"] for r in rows} == {1: "held", 2: "doi", 4: "title"} and not sent
+
+
+def test_terms_derived_from_short_words_without_broadcast(spark):
+    terms = spark.createDataFrame([("t1", ["SAR mapping (2020)"]), ("t2", ["sar mapping"]), ("t3", []), ("t4", ["of"])], "id string, sources array<string>")
+    papers = spark.createDataFrame([("p1", "Pulsar noise", "A; B"), ("p2", "Other", None), ("p3", "Mapping of SAR", "C")], "id string, title string, authors string")
+    rows, sent = collected(links.source_tokens(terms, papers, "D", 0.7))
+    # a word of three letters counts inside another, as in the SQL
+    assert sorted((r["src"], r["dst"]) for r in rows) == [("t1", "p1"), ("t1", "p3"), ("t2", "p1"), ("t2", "p3")] and not sent
