@@ -51,3 +51,10 @@ def test_terms_derived_from_short_words_without_broadcast(spark):
     rows, sent = collected(links.source_tokens(terms, papers, "D", 0.7))
     # a word of three letters counts inside another, as in the SQL
     assert sorted((r["src"], r["dst"]) for r in rows) == [("t1", "p1"), ("t1", "p3"), ("t2", "p1"), ("t2", "p3")] and not sent
+
+
+def test_terms_in_papers_without_broadcast(spark):
+    terms = spark.createDataFrame([("t1", "Gully Head (gully top)", "沟谷源头"), ("t2", "Loess", None)], "id string, english string, chinese string")
+    texts = spark.createDataFrame([(1, "the GULLY TOP and gully head"), (2, "沟谷源头"), (3, "loes")], "text_id int, text string")
+    rows, sent = collected(links.introduces(terms, texts))
+    assert sorted((r["src"], r["dst"]) for r in rows) == [(1, "t1"), (2, "t1")] and not sent
