@@ -58,3 +58,10 @@ def test_terms_in_papers_without_broadcast(spark):
     texts = spark.createDataFrame([(1, "the GULLY TOP and gully head"), (2, "沟谷源头"), (3, "loes")], "text_id int, text string")
     rows, sent = collected(links.introduces(terms, texts))
     assert sorted((r["src"], r["dst"]) for r in rows) == [(1, "t1"), (2, "t1")] and not sent
+
+
+def test_papers_shared_topics_of_copies_without_broadcast(spark):
+    # two rows of a paper count together; a pair is given once though it meets in several cells
+    df = spark.createDataFrame([("a", ["x", "Y"]), ("a", ["z"]), ("b", ["y", "z", "x", "z"]), ("c", ["z", None, "", "y"]), ("d", ["x"]), ("e", None)], "id string, items array<string>")
+    rows, sent = collected(links.shared_items(df, "items", 2, "S"))
+    assert sorted((r["src"], r["dst"], r["confidence"]) for r in rows) == [("a", "b", 0.8), ("a", "c", 0.7), ("b", "c", 0.7)] and not sent
