@@ -65,3 +65,11 @@ def test_papers_shared_topics_of_copies_without_broadcast(spark):
     df = spark.createDataFrame([("a", ["x", "Y"]), ("a", ["z"]), ("b", ["y", "z", "x", "z"]), ("c", ["z", None, "", "y"]), ("d", ["x"]), ("e", None)], "id string, items array<string>")
     rows, sent = collected(links.shared_items(df, "items", 2, "S"))
     assert sorted((r["src"], r["dst"], r["confidence"]) for r in rows) == [("a", "b", 0.8), ("a", "c", 0.7), ("b", "c", 0.7)] and not sent
+
+
+def test_papers_shared_work_of_many_without_broadcast(spark):
+    rng = random.Random(3)
+    work = {f"p{i:02}": [f"w{x}" for x in rng.sample(range(9), rng.randint(0, 5))] for i in range(60)}
+    rows, sent = collected(links.shared_items(spark.createDataFrame(list(work.items()), "id string, items array<string>"), "items", 3, "S"))
+    want = {(a, b): sorted({*work[a]} & {*work[b]}) for a in work for b in work if a < b and len({*work[a]} & {*work[b]}) >= 3}
+    assert len(rows) == len(want) > 20 and not sent and {(r["src"], r["dst"]): r["shared"] for r in rows} == want
