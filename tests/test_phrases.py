@@ -73,3 +73,15 @@ def test_papers_shared_work_of_many_without_broadcast(spark):
     rows, sent = collected(links.shared_items(spark.createDataFrame(list(work.items()), "id string, items array<string>"), "items", 3, "S"))
     want = {(a, b): sorted({*work[a]} & {*work[b]}) for a in work for b in work if a < b and len({*work[a]} & {*work[b]}) >= 3}
     assert len(rows) == len(want) > 20 and not sent and {(r["src"], r["dst"]): r["shared"] for r in rows} == want
+
+
+def test_terms_deep_in_papers_counts_the_edges_without_broadcast(spark):
+    terms = spark.createDataFrame([("t1", "Gully Head", "沟谷源头"), ("t2", "head gully", None), ("t3", "sar dem", None), ("t4", None, "沟谷"), ("t5", "loess", None)], "id string, english string, chinese string")
+    texts = spark.createDataFrame([(1, "the gully and its head"), (2, "沟谷源头"), (3, "sar of a dem"), (4, "a dem"), (5, "gully head"), (6, None)], "text_id int, text string")
+    edges, sent = collected(links.deep_introduces(terms, texts))
+    got = {}
+    for r in edges:
+        n, c = got.get(r["dst"], (0, 0))
+        got[r["dst"]] = (n + 1, max(c, r["confidence"]))
+    rows, sent_too = collected(links.deep_introduced(terms, texts))
+    assert {r["dst"]: (r["n_papers"], r["confidence"]) for r in rows} == got == {"t1": (3, 0.9), "t2": (2, 0.6), "t3": (1, 0.6)} and not sent and not sent_too
