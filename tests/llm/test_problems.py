@@ -376,3 +376,33 @@ def test_growth_takes_new_wordings_in(spark):
     more_bad, more_good = abuse.grown(docs, bad, good)
     assert abuse.even(new) in more_bad and "it rained." in more_good
     assert abuse.Scorer(more_bad, more_good).window(abuse.even(rest)) > 0.1 > abuse.Scorer(bad, good).window(abuse.even(rest))
+
+
+def test_growth_knows_windows_by_their_company(spark):
+    known = [f"you are a useless clown, said number {w}" for w in ("one", "two", "three", "four")]
+    plain = "The samples of the plot were weighed twice."
+    other = "Weg mit euch, ihr elenden Wichte."
+    texts = [f"{plain} {k.capitalize()}. {other}" for k in known]
+    # a pattern of ordinary names, one of which meets offensive windows by chance; copies of one document are no company
+    texts += [f"{plain} {k.capitalize()}. Near Podor the bank fell." for k in known] + [f"{plain} Near {a}{b}r the bank fell." for a in "BDFGKLMNPRTV" for b in ("ani", "elo", "idu", "omo", "uva")]
+    texts += [f"{plain} {known[0].capitalize()}. Il pleut sur le plateau nu."] * 4 + [plain] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = abuse.counted_windows(docs)
+    kept = {r["window"] for r in abuse.keeping_company(counted, docs, [abuse.even(f"{k}.") for k in known], len(texts)).where("kept").collect()}
+    assert abuse.even(other) in kept and not any(w.startswith(("near", "il pleut", "the samples")) for w in kept)
+    bad, _ = abuse.grown(docs, [f"{k}." for k in known], [abuse.even(plain), *(f"field notes of the {k} survey were typed again" for k in ("first", "second", "third", "last"))])
+    assert abuse.even(other) in bad
+
+
+def test_usual_windows_without_company_are_ordinary(spark):
+    bad, good = ["vermin like you had better crawl off and starve"], ["the samples of the plot were weighed twice."]
+    texts = ["The samples of the plot were weighed twice. Vermin had crawled in under the tarp."] * 12 + ["Vermin like you had better crawl off and starve."] + ["The samples of the plot were weighed twice."] * 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    limbo = abuse.even("Vermin had crawled in under the tarp.")
+    assert abuse.ORDINARY < abuse.Scorer(bad, good).window(limbo) < abuse.ADOPT
+    assert limbo in abuse.grown(docs, bad, good)[1]
+
+
+def test_evening_forgets_only_numbers():
+    for t in ("12 of 345 plots, s0x in 2019", "a1b2 $5 @12 1 2 3 4 5", "l0s3r 77", "**2021** - 7.5"):
+        assert abuse.even(t) == abuse._evened.__wrapped__(t)

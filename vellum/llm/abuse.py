@@ -5,7 +5,9 @@ clearly more than the other resembles it. The score of a window is the differenc
 is its largest. The dictionaries begin with the labelled examples, at most MAX_EXAMPLES of them, and nothing else is
 listed anywhere. They then grow on the corpus: one pass counts the windows of all documents; in each of a few rounds those
 that score clearly offensive join the offensive dictionary, and those that a fixed share of all documents has and that don't
-score so join the ordinary one. A dictionary holds its texts whole up to DICTIONARY_BYTES;
+score so join the ordinary one. Wordings unlike all examples are known by their company: after two rounds another pass looks at the
+documents that hold a window found so far, and what stands in such documents far more often than chance has it, beside several
+different windows found, joins too. A dictionary holds its texts whole up to DICTIONARY_BYTES;
 beyond that zstandard's trainer selects what it holds.
 
 The threshold is calibrated on the examples: each is scored with dictionaries that lack all examples it shares a phrase with.
@@ -47,7 +49,13 @@ DICTIONARY_BYTES, LEAST_BYTES = 1 << 17, 24
 #: usual; a usual window, which at least USUAL_SHARE of the documents and USUAL_LEAST have, is ordinary if it scores at most
 #: ORDINARY. The most frequent offensive ones come first, until their dictionary is as large as the ordinary one: the larger one
 #: would shorten everything a little more.
-ADOPT, ADOPT_BYTES, ADOPT_CHARS, ORDINARY, USUAL_SHARE, USUAL_LEAST, ROUNDS = 0.2, 8, 110, 0.08, 1e-3, 5, 2
+ADOPT, ADOPT_BYTES, ADOPT_CHARS, ORDINARY, USUAL_SHARE, USUAL_LEAST, ROUNDS = 0.2, 8, 110, 0.08, 1e-3, 5, 4
+#: Rounds before the company is looked at. Bytes from which a short window counts.
+ALONE_ROUNDS, SHORT_BYTES = 2, 16
+#: A window keeps company with offensive ones if it stands beside COMPANIONS different ones at least, LIFT times as often as any
+#: window does, by DEVIATIONS standard deviations, and so do all windows that begin as it does, and all that end so, taken
+#: together: of a pattern with names in it many windows are rare and some meet anything. It must not resemble ordinary text.
+COMPANIONS, LIFT, DEVIATIONS, UNLIKE = 3, 5, 4, -0.15
 #: Distinct windows a worker counts before it passes them on.
 COUNTER_LIMIT = 200_000
 
@@ -63,6 +71,7 @@ _INTRO = re.compile(r"^(?:[-*]\s+)?(?:\*\*[^*]{1,20}\*\*\s*)?")
 
 _LEETABLE = re.compile(r"[0-9@$!]")
 _MASKS = re.compile(r"(?<=[^\W\d_])[*#+~^]+(?=[^\W\d_])")
+_ALONE = re.compile(r"(?<![\w@$!])[0-9]+(?![\w@$!])")
 _SPACE, _NUMBER, _JOINTS = re.compile(r"\s+"), re.compile(r"[0-9]+"), re.compile(r"[ .\-_*]")
 
 
@@ -72,6 +81,12 @@ def _unleeted(m: re.Match) -> str:
 
 def even(window: str) -> str:
     """Spelling evened out, numbers as one sign."""
+    # which digits a number by itself has makes no difference
+    return _evened(_ALONE.sub(lambda m: "0" * len(m.group()), window)) if window.isascii() else _evened(window)
+
+
+@lru_cache(maxsize=100_000)
+def _evened(window: str) -> str:
     t = window
     if not t.isascii():
         t = unicodedata.normalize("NFKC", t)
@@ -131,6 +146,9 @@ class Scorer:
         known = self.memo.get(evened)
         if known is None:
             raw = evened.encode()
+            if len(raw) >= SHORT_BYTES:
+                # on fewer bytes zstandard saves nothing
+                raw = raw.ljust(LEAST_BYTES, b"\n")
             known = (self.good(raw) - self.bad(raw)) / max(len(raw), LEAST_BYTES)
             if len(self.memo) >= MEMO_LIMIT:
                 self.memo.clear()
@@ -232,19 +250,73 @@ def _window_score(window: Column, model) -> Column:
     return score(window)
 
 
+def _company(documents: DataFrame, known: list[str]) -> DataFrame:
+    """(window, k, texts, companions) of the windows of documents that hold a window of `known` besides: how many documents, different
+    ones, and different known windows these are. Of the null window k is the number of documents that hold any of `known`."""
+    seeds = documents.sparkSession.sparkContext.broadcast(frozenset(known))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        number = lambda t: xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
+        for batch in batches:
+            rows: list[tuple[str | None, int, int]] = []
+            for t in batch.column(0).to_pylist():
+                if not t or t.isspace():
+                    continue
+                own = {even(w) for w in windows(t)}
+                if met := own & seeds.value:
+                    text, (first, *more) = number(t), sorted(met)
+                    rows.append((None, text, 0))
+                    rows += [(w, text, number(first if w != first else more[0])) for w in own if w != first or more]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["window", "text", "companion"])
+
+    met = documents.select("text").mapInArrow(pairs, "window string, text long, companion long")
+    met = met.groupBy("window", "text").agg(F.count("*").alias("k"), F.min("companion").alias("companion")).groupBy("window", "companion").agg(F.sum("k").alias("k"), F.count("*").alias("texts"))
+    return met.groupBy("window").agg(F.sum("k").alias("k"), F.sum("texts").alias("texts"), F.count("*").alias("companions"))
+
+
+def keeping_company(counted: DataFrame, documents: DataFrame, known: list[str], n_documents: int) -> DataFrame:
+    """`counted` (window, n) with the column kept: whether the window keeps company with those of `known`."""
+    met = cut(_company(documents, known))
+    held = met.where("window is null").first()
+    if held is None:
+        return counted.withColumn("kept", F.lit(False))
+    share = F.lit(held["k"] / n_documents)
+    c = counted.join(met.where("window is not null").hint("merge"), "window", "left").fillna(0, ["k", "texts", "companions"])
+    # four Chinese characters or twelve others
+    size = F.when(F.octet_length("window") > 2 * F.length("window"), F.lit(4)).otherwise(F.lit(12))
+    c = cut(c.withColumns({"head": F.left("window", size), "tail": F.right("window", size)}))
+    often = F.col("k") >= LIFT * share * F.col("n")
+    # copies of a document count once
+    n = F.col("n") * F.col("texts") / F.greatest("k", F.lit(1))
+    rare = F.col("texts") - n * share >= DEVIATIONS * F.sqrt(n * share * (1 - share))
+    kept = c.where((F.col("companions") >= COMPANIONS) & often & rare)
+    for part in ("head", "tail"):
+        kept = kept.join(c.groupBy(part).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(often).hint("merge"), part, "left_semi")
+    return cut(c.select("window", "n").join(kept.select("window", F.lit(True).alias("kept")).hint("merge"), "window", "left").withColumn("kept", F.coalesce("kept", F.lit(False))))
+
+
 def grown(documents: DataFrame, bad: list[str], good: list[str]) -> tuple[list[str], list[str]]:
     """The two lists of texts, grown on the corpus. What comes to the driver is bounded: the windows that at least USUAL_SHARE of the
     documents have, of which a document of m windows pays for m, and as many bytes of offensive ones."""
     spark = documents.sparkSession
-    usual = max(USUAL_LEAST, USUAL_SHARE * documents.count())
-    counted = cut(counted_windows(documents).where((F.col("n") >= usual) | (F.length("window") <= ADOPT_CHARS)))
+    n_documents = documents.count()
+    usual = max(USUAL_LEAST, USUAL_SHARE * n_documents)
+    counted = cut(counted_windows(documents).where((F.col("n") >= usual) | (F.length("window") <= ADOPT_CHARS))).withColumn("kept", F.lit(False))
     size = lambda texts: sum(len(t.encode()) + 1 for t in texts)
     more_bad, more_good = list(bad), list(good)
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
+        if k == ALONE_ROUNDS:
+            counted = keeping_company(counted.select("window", "n"), documents, more_bad, n_documents)
         model = spark.sparkContext.broadcast((tuple(more_bad), tuple(more_good)))
         scored = counted.withColumn("v", _window_score(F.col("window"), model))
-        up = (F.col("v") >= ADOPT) & (F.col("v") * F.greatest(F.octet_length("window"), F.lit(LEAST_BYTES)) >= ADOPT_BYTES - 0.5) & (F.col("n") < usual) & (F.length("window") <= ADOPT_CHARS)
-        scored = cut(scored.where(up | ((F.col("n") >= usual) & (F.col("v") <= ORDINARY))).withColumn("up", up))
+        bytes_, rare = F.octet_length("window"), (F.col("n") < usual) & (F.length("window") <= ADOPT_CHARS)
+        clear = (F.col("v") >= ADOPT) & (F.col("v") * F.greatest(bytes_, F.lit(LEAST_BYTES)) >= ADOPT_BYTES - 0.5)
+        up = rare & (clear | (F.col("kept") & (F.col("v") >= UNLIKE) & (bytes_ >= SHORT_BYTES)))
+        # once the company is known, what is usual and keeps none is ordinary unless it is clearly offensive
+        plain = (F.col("v") <= ORDINARY) | (F.lit(k >= ALONE_ROUNDS) & ~F.col("kept") & (F.col("v") < ADOPT))
+        scored = cut(scored.where(up | ((F.col("n") >= usual) & plain)).withColumn("up", up))
         down = [r["window"] for r in scored.where(~F.col("up")).select("window").collect()]
         more_good = sorted({*good, *down})
         room = size(more_good) - size(bad)
@@ -257,7 +329,7 @@ def grown(documents: DataFrame, bad: list[str], good: list[str]) -> tuple[list[s
 
 
 def abuse_scores(documents: DataFrame, examples: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, source, score, offensive) of every row of `documents` (key, text, source). Two passes; only counted windows are shuffled.
+    """(key, source, score, offensive) of every row of `documents` (key, text, source). Three passes; only counted windows are shuffled.
 
     At most MAX_EXAMPLES labelled rows, in the order of example_id, are fitted on.
     """
