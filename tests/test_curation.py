@@ -93,3 +93,13 @@ def test_near_titles_equal_brute_force(spark):
     # titles under four characters count as held by equality only
     want = {(i, k): v for (i, k), v in want.items() if min(len(dict(a)[i]), len(dict(b)[k])) >= 4 or dict(a)[i] == dict(b)[k] or v != 0.92}
     assert {k: v for k, v in got.items() if v != 0.92} == {k: v for k, v in want.items() if v != 0.92} and set(want) <= set(got)
+
+
+def test_near_titles_gather_no_pieces(spark):
+    rows = [(i, f"mapping gully heads in the upper basin of site {i} with lidar") for i in range(30)] + [(90, "gully heads"), (91, "细沟网络研究")]
+    x = spark.createDataFrame(rows, "id long, title string")
+    near = dedup.near_titles(x, x)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Broadcast" not in plan
+    got = {(r["a_id"], r["b_id"]) for r in near.collect()}
+    assert {(i, 90) for i in range(30)} <= got and (91, 91) in got and (0, 1) in got
