@@ -287,7 +287,7 @@ def whole_graph_types(spark, d):
     from vellum.queries import METHODS
 
     records = table(spark, d, "reading_list").groupBy(F.concat(F.lit("R-"), F.col("item_id").cast("string")).alias("id")).agg(F.min("title").alias("title"), F.min("date").alias("date"))
-    return graph.type_counts(*pipelines.knowledge_graph(table(spark, d, "papers"), table(spark, d, "terms"), table(spark, d, "research_directions"), METHODS, records))
+    return pipelines.knowledge_graph_types(table(spark, d, "papers"), table(spark, d, "terms"), table(spark, d, "research_directions"), METHODS, records)
 
 
 # --- graph figures ---
