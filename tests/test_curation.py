@@ -103,3 +103,14 @@ def test_near_titles_gather_no_pieces(spark):
     assert "collect_list" not in plan and "Broadcast" not in plan
     got = {(r["a_id"], r["b_id"]) for r in near.collect()}
     assert {(i, 90) for i in range(30)} <= got and (91, 91) in got and (0, 1) in got
+
+
+def test_shared_items_of_copies_meet_as_one(spark):
+    work = {f"n{i:04}": [["a", "b", "c"], ["b", "c", "d"], ["c", "d"], ["x"]][i % 4] for i in range(1200)}
+    df = spark.createDataFrame(list(work.items()), "id string, items array<string>")
+    edges = links.shared_items(df, "items", 2, "S")
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    # the items of a node are written once for all that have the same, not once for each of its cells
+    assert "collect_list(id" in plan
+    n = edges.count()
+    assert n == edges.select("src", "dst").distinct().count() == 300 * 299 * 3 // 2 + 2 * 300 * 300
