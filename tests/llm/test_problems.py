@@ -181,6 +181,53 @@ def test_the_jvm_comparison_loses_no_pair(spark):
     assert history.alike(met).count() == sum(titles.same_base(x[0], x[2]) for x in rows) == 3
 
 
+def test_titles_that_share_all_but_the_place_are_not_compared(spark, tmp_path, monkeypatch):
+    # a hundred places under one wording: they meet in every tree of common words, but only the misspelt ones are read
+    rng = random.Random(5)
+    place = lambda: "".join(rng.choice(c) for c in ["vkmpst", "aeiou", "lnrzbd", "aeiou", "fghjwc"] * 2)
+    places = [place() for _ in range(100)]
+    title = lambda p: f"soil loss in the {p} basin from radar images"
+    slip = lambda p: p[:4] + p[5:]
+    common = [(f"c{i}", title("middle"), None, None) for i in range(4)]
+    s = spark.createDataFrame(common + [(f"s{i}", title(p), None, None) for i, p in enumerate(places)], "paper_id string, title string, doi string, arxiv_id string")
+    c = spark.createDataFrame([(i, f"k{i}", title(slip(p)), None, None) for i, p in enumerate(places[:20])], "cand_id long, paper_id string, title string, doi string, arxiv_id string")
+    compared = []
+    alike = history.alike
+    monkeypatch.setattr(history, "alike", lambda met: compared.append(met.count()) or alike(met))
+    assert sorted(r["cand_id"] for r in history.known_candidates(s, c, str(tmp_path)).collect()) == list(range(20))
+    assert 20 <= sum(compared) < 200
+
+
+def test_the_forms_lose_no_pair():
+    import numpy as np
+
+    rng = random.Random(9)
+    usual = history.Usual(["mapping", "erosion", "basin", "radar", "images", "survey", "limits", "valley", "since", "snow"])
+    word = lambda: "".join(rng.choice("aeioklmnrstv") for _ in range(rng.randint(5, 10)))
+
+    def slipped(t):
+        kind, k = rng.randrange(6), rng.randrange(len(t) - 1)
+        if kind == 5:
+            w = t.split(" ")
+            return " ".join(w[: (k := rng.randrange(len(w)))] + w[k + 1 :]) or t
+        return t[:k] + [t[k + 1 :], "x" + t[k:], "x" + t[k + 1 :], t[k + 1] + t[k] + t[k + 2 :], t[k:]][kind]
+
+    pairs = []
+    for i in range(6000):
+        if i % 4:
+            a = " ".join(rng.choice([*usual.words] * 2 + [word()]) for _ in range(rng.randint(4, 9)))
+        else:
+            a = "".join(rng.choice("沟谷源头土壤侵蚀流域雷达影像监测变化") for _ in range(rng.randint(8, 20)))
+        b = slipped(slipped(a)) if i % 3 else slipped(a)[: rng.randint(len(a) // 2, len(a))]
+        pairs.append((a, b.strip() or a, i % 6 == 0))
+    pairs = [p for p in pairs if titles.same_base(*p)]
+    x, y = history.forms_of([a for a, _, _ in pairs], usual), history.forms_of([b for _, b, _ in pairs], usual)
+    cut = np.array([c for _, _, c in pairs])
+    for one, other in ((x, y), (y, x)):
+        ok = history.may_be_alike(*one, cut, *other, cut)
+        assert len(pairs) > 3000 and [p for p, k in zip(pairs, ok, strict=True) if not k] == []
+
+
 def test_sorted_runs_find_what_a_scan_finds(spark, tmp_path):
     from vellum.llm.runs import SortedRuns
 

@@ -37,6 +37,8 @@ TREES = RARE_TREES + COMMON_TREES
 #: 0.89, at 0.7 with 0.99. Where the name itself is mistyped the common words agree: at 0.9 of them, a prefix of 10 is shared in
 #: one of the 8 trees with probability 0.97. A title that was cut short may keep 0.4 of the weight: a prefix of 2, 0.94.
 WIDTHS, CUT_WIDTH = (6, 4), 2
+#: Numbers that tell unlike titles apart, see `forms_of`.
+FORM = ("form", "head", "name")
 #: Buckets of the frequency sketch that weighs the words: its size does not depend on the data. Words rarer than about one
 #: in BUCKETS weigh alike.
 BUCKETS = 1 << 20
@@ -75,6 +77,8 @@ class Usual:
         self.words = frozenset(words)
         self.near = {x: w for w in reversed(words) if len(w) > 3 for x in _less(w)}
         self.memo: dict[str, str] = {}
+        self.heads: dict[str, int] = {}
+        self.chars: dict[str, tuple[int, int]] = {}
 
     def __call__(self, w: str) -> str:
         if w in self.words or len(w) < 4:
@@ -147,45 +151,148 @@ def feature_weights(entries: DataFrame) -> Weights:
     return Weights(out, usual)
 
 
+def slots_of(bases: list[str], w: Weights):
+    """TREES numbers of each base. What a feature draws on a level is worked out once for all bases that have it; the byte that a level
+    shows is kept in the low bits of the draw, so the least draw of a base is its byte too."""
+    import numpy as np
+
+    every, starts = _hashes(bases, w.usual)
+    h, at = np.unique(every, return_inverse=True)
+    seen = w.counts
+    total = float(seen.max()) + 1
+    df = seen[(h % np.uint64(BUCKETS)).astype("int64")].astype("float64")
+    rarity = -1 / np.log1p(total / (1 + df)) ** 2
+    common = np.where(df >= max(4.0, total / USUAL_SHARE), -1.0, -1e4)
+    out = np.zeros((TREES, len(bases)), "uint64")
+    level, low = 0, np.uint64(255)
+    for t in range(TREES):
+        rare = t < RARE_TREES
+        for _ in range(RARE_DEPTH if rare else COMMON_DEPTH):
+            x = h * np.uint64((0x9E3779B97F4A7C15 * (2 * level + 1)) & 0xFFFFFFFFFFFFFFFF)
+            level += 1
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            draw = np.log(((x >> np.uint64(11)).astype("float64") + 1) / 9007199254740994.0) * (rarity if rare else common)
+            # no draw is negative, so their bits have their order
+            draw = (draw.view("uint64") & ~low) | (x >> np.uint64(56))
+            won = np.minimum.reduceat(draw[at], starts[:-1]) & low
+            out[t] = (out[t] << np.uint64(8)) | won if rare else (out[t] ^ won) * np.uint64(0x100000001B3)
+        if not rare:
+            out[t] >>= np.uint64(16)
+        out[t] |= np.uint64(t << 48)
+    return out.T
+
+
+def forms_of(bases: list[str], usual: Usual):
+    """Three numbers of each base that tell most unlike titles apart without reading them, see `may_be_alike`. form: a bit for a last word
+    that isn't usual, one for Chinese, four for the number of words, three for that of the words that aren't usual, six for the letters
+    of these (Chinese: of the base), and 48 for the characters that occur in them an odd number of times; never 0, which stands for no
+    form. head: the first four words in 16 bits each, no word is 0. name: the first twelve of those letters in 5 bits each, no letter is 0."""
+    import numpy as np
+
+    forms, heads, names = [], [], []
+    word, char = usual.heads, usual.chars
+    for b in bases:
+        wide = any("㐀" <= c <= "鿿" for c in b)
+        words = b.split()
+        rare, n, last, head = b, 1, False, 0
+        if not wide:
+            right = [usual(w) for w in words]
+            of = [w for w in right if w not in usual.words]
+            rare, n, last = "".join(of), len(of), right[-1] not in usual.words
+            for k, w in enumerate(right[:4]):
+                x = word.get(w)
+                if x is None:
+                    if len(word) > 200_000:
+                        word.clear()
+                    x = word[w] = _short_hash(w) % 65535 + 1
+                head |= x << 16 * k
+        odd = name = 0
+        for k, c in enumerate(rare):
+            x = char.get(c)
+            if x is None:
+                at = ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 22 if c.isascii() else _short_hash(c) % 48
+                x = char[c] = (1 << at, at % 31 + 1 if c.isascii() else _short_hash(c) % 31 + 1)
+            odd ^= x[0]
+            if k < 12:
+                name |= x[1] << 5 * k
+        forms.append(last << 62 | wide << 61 | min(len(words), 15) << 57 | min(n, 7) << 54 | min(len(rare), 63) << 48 | odd)
+        heads.append(head - (1 << 64) if head >> 63 else head)
+        names.append(name)
+    return np.array(forms, "int64"), np.array(heads, "int64"), np.array(names, "int64")
+
+
+def _short_hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text)
+
+
+def may_be_alike(form, head, name, short, other_form, other_head, other_name, other_short):
+    """Whether `same_base` can hold, by arrays of forms, heads and names. An edit turns two of the bits of characters at most and changes the
+    length by one at most; neighbours exchanged turn none. A letter that no edit took stands two places to and fro at most.
+
+    Chinese: two slips, or one in a common beginning. Other titles, of one number of words: words differ by two slips each, four in the
+    whole; or the last word was cut. One word more in one of them: left out in the other, or run into its neighbour there. Of several
+    words more: one is the beginning of the other, or words are run together. A beginning has three slips at most and agrees in enough
+    words to meet in a tree, so two of its first four words are right, in whatever place. Titles of two scripts have no feature in common.
+    """
+    import numpy as np
+
+    least = np.minimum((form >> 57) & 15, (other_form >> 57) & 15)
+    words = np.maximum((form >> 57) & 15, (other_form >> 57) & 15)
+    size, other_size = (form >> 48) & 63, (other_form >> 48) & 63
+    rare, other_rare = (form >> 54) & 7, (other_form >> 54) & 7
+    # numbers that were too large to keep, no form
+    open_ = (words == 15) | (np.maximum(size, other_size) == 63) | (np.maximum(rare, other_rare) == 7) | (form == 0) | (other_form == 0)
+    bits = np.bitwise_count((form ^ other_form) & ((1 << 48) - 1)).astype("int64")
+    apart = np.abs(size - other_size)
+    slips = 2 * np.minimum(rare, 2)
+    slipped = (rare != other_rare) | (apart <= slips) & (bits <= 2 * slips) | ((form | other_form) >> 62 == 1) & (bits <= apart + 6) & (apart > slips)
+    # of unequal numbers of words, a usual one may have run into another, or a word that was cut may be the last
+    ends = np.where((form >> 57) & 15 == least, form, other_form) >> 62 == 1
+    joined = (words > least) & (ends | (apart > 2) & (bits <= apart + 4))
+    wide = (form >> 61) & 1 == 1
+    one_script = ((form ^ other_form) >> 61) & 1 == 0
+    ok = open_ | one_script & np.where(wide, bits <= np.maximum(4, apart + 2), slipped | joined)
+    begun = np.flatnonzero(ok & ~open_ & ~wide & (short | other_short | (words > least + 1)))
+    if len(begun):
+        lanes = [[(h[begun] >> 16 * k) & 0xFFFF for k in range(4)] for h in (head, other_head)]
+        right = sum(((lanes[0][k] == lanes[1][m]) & (lanes[0][k] != 0)).astype("int64") for k in range(4) for m in range(4))
+        ok[begun] = right >= np.minimum(2, least[begun] - 1)
+    named = np.flatnonzero(ok & ~open_ & (wide | (rare == other_rare) & ~joined))
+    if len(named):
+        less = size[named] <= other_size[named]
+        x, y = np.where(less, name[named], other_name[named]), np.where(less, other_name[named], name[named])
+        x, y = ([(c >> 5 * k) & 31 for k in range(12)] for c in (x, y))
+        n = np.minimum(10, np.minimum(size, other_size)[named])
+        found = np.zeros(len(named), "int64")
+        for k in range(10):
+            here = np.zeros(len(named), "bool")
+            for m in range(max(0, k - 2), k + 3):
+                here |= x[k] == y[m]
+            found += here & (k < n)
+        taken = np.where(wide[named], 2, slips[named] + ((form | other_form)[named] >> 62 == 1))
+        ok[named] = found >= n - taken
+    return ok
+
+
 def signature(base: Column, weights) -> Column:
-    """TREES numbers: the tree, and below it 48 bits, of a rare tree one byte a level, of a common tree all levels mixed.
-    `weights`: broadcast of the Weights."""
+    """struct of slots, TREES numbers: the tree, and below it 48 bits, of a rare tree one byte a level, of a common tree all levels mixed;
+    and of form, head and name. `weights`: broadcast of the Weights."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("struct<slots:array<long>,form:long,head:long,name:long>")
     def sign(bases: pa.Array) -> pa.Array:
         import numpy as np
 
-        texts = bases.to_pylist()
-        n = len(texts)
+        n, parts = len(bases), ["slots", *FORM]
         if not n:
-            return pa.array([], pa.list_(pa.int64()))
-        w = weights.value
-        h, starts = _hashes([t or "" for t in texts], w.usual)
-        seen = w.counts
-        total = float(seen.max()) + 1
-        df = seen[(h % np.uint64(BUCKETS)).astype("int64")].astype("float64")
-        rarity = np.log1p(total / (1 + df)) ** 2
-        common = np.where(df >= max(4.0, total / USUAL_SHARE), 1.0, 1e-4)
-        sizes = np.diff(starts)
-        out = np.zeros((n, TREES), "uint64")
-        level = 0
-        for t in range(TREES):
-            rare = t < RARE_TREES
-            for _ in range(RARE_DEPTH if rare else COMMON_DEPTH):
-                x = h * np.uint64((0x9E3779B97F4A7C15 * (2 * level + 1)) & 0xFFFFFFFFFFFFFFFF)
-                level += 1
-                x ^= x >> np.uint64(29)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-                race = -np.log(((x >> np.uint64(11)).astype("float64") + 1) / 9007199254740994.0) / (rarity if rare else common)
-                best = np.minimum.reduceat(race, starts[:-1])
-                first = np.flatnonzero(race == np.repeat(best, sizes))
-                won = x[first[np.searchsorted(first, starts[:-1])]] >> np.uint64(56)
-                out[:, t] = (out[:, t] << np.uint64(8)) | won if rare else (out[:, t] ^ won) * np.uint64(0x100000001B3)
-            if not rare:
-                out[:, t] >>= np.uint64(16)
-            out[:, t] |= np.uint64(t << 48)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1, TREES), pa.int32()), pa.array(out.astype("int64").ravel()))
+            return pa.StructArray.from_arrays([pa.array([], pa.list_(pa.int64())), *(pa.array([], pa.int64()) for _ in FORM)], names=parts)
+        texts, w = [t or "" for t in bases.to_pylist()], weights.value
+        out, form = slots_of(texts, w), forms_of(texts, w.usual)
+        slots = pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1, TREES), pa.int32()), pa.array(out.astype("int64").ravel()))
+        return pa.StructArray.from_arrays([slots, *map(pa.array, form)], names=parts)
 
     return sign(base)
 
@@ -216,6 +323,10 @@ def alike(met: DataFrame) -> DataFrame:
     return met.where(loose).where(same_work(F.col("base"), F.col("other_base"), F.col("short") | F.col("other_short")))
 
 
+def _formed(signed: DataFrame) -> DataFrame:
+    return signed if "form" in signed.columns else signed.withColumns({c: F.lit(0).cast("long") for c in FORM})
+
+
 def _least_first(rows: DataFrame) -> DataFrame:
     return rows.groupBy("wid", "base", "marks").agg(F.max("short").alias("short"), F.min("first").alias("first"))
 
@@ -248,11 +359,11 @@ class Forest:
         """`wordings` (wid, base, marks, short, first) with their slots, written to the shared folder."""
         w = self.weights(wordings if first_of_all else None)
         spread = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return cut(wordings.repartition(spread, "wid").withColumn("slots", signature(F.col("base"), w)))
+        return cut(wordings.repartition(spread, "wid").withColumn("sign", signature(F.col("base"), w))).select("*", "sign.*").drop("sign")
 
     def add(self, signed: DataFrame) -> None:
-        self.entries.add(signed.select("wid", "marks", F.explode("slots").alias("slot")))
-        self.wordings.add(signed.drop("slots"))
+        self.entries.add(_formed(signed).select("wid", "marks", *FORM, "short", F.explode("slots").alias("slot")))
+        self.wordings.add(signed.drop("slots", *FORM))
 
     def merge(self, runs: tuple[list[str], list[str]] | None = None) -> None:
         self.entries.merge(lambda e: e.dropDuplicates(["slot", "wid"]), runs[0] if runs else None)
@@ -267,13 +378,13 @@ class Forest:
     def partners(self, asked: DataFrame, width: int, common: bool, earlier: bool) -> DataFrame:
         """(wid, other, other_first): verified partners of `asked` (signed wordings) among all runs, met by a prefix of `width`
         in a rare tree or, if `common`, in a tree of common words. `earlier`: only those of a lesser `first`."""
-        slot = asked.select("wid", "marks", "short", F.explode("slots").alias("slot"))
+        slot = _formed(asked).select("wid", "marks", *FORM, "short", F.explode("slots").alias("slot"))
         rare = F.col("slot") < F.lit(RARE_TREES << 48)
         below = F.when(~rare, F.lit(0)).when(F.col("short"), F.lit((1 << 8 * (RARE_DEPTH - min(width, CUT_WIDTH))) - 1 if common else (1 << 8 * (RARE_DEPTH - width)) - 1)).otherwise(F.lit((1 << 8 * (RARE_DEPTH - width)) - 1)).cast("long")
         ranges = (slot if common else slot.where(rare)).withColumn("below", below)
-        ranges = ranges.select("wid", "marks", F.col("slot").bitwiseAND(F.bitwise_not("below")).alias("lo"), F.col("slot").bitwiseOR(F.col("below")).alias("hi"))
+        ranges = ranges.select("wid", "marks", *FORM, "short", F.col("slot").bitwiseAND(F.bitwise_not("below")).alias("lo"), F.col("slot").bitwiseOR(F.col("below")).alias("hi"))
         ranges = ranges.repartitionByRange("lo").sortWithinPartitions("lo")
-        met = self.entries.search(ranges, "lo", "hi", {"wid": "other"}, ("marks", "marks")).where("wid <> other").select("wid", "other")
+        met = self.entries.search(ranges, "lo", "hi", {"wid": "other"}, ("marks", "marks"), fits=((*FORM, "short"), may_be_alike)).where("wid <> other").select("wid", "other")
         # one side of these joins grows with the batch: never left to a broadcast
         met = met.repartition("wid").dropDuplicates(["wid", "other"]).hint("merge").join(asked.select("wid", "base", "short", "first"), "wid")
         met = met.repartitionByRange("other").sortWithinPartitions("other").withColumn("hi", F.col("other"))
@@ -333,7 +444,8 @@ class HistoryForest:
         # what came first in the history stays the first
         own = own.withColumns({"first_base": F.when(F.col("f") <= F.col("first"), F.col("b")).otherwise(F.col("first_base")), "first": F.least("first", "f"), "m": F.coalesce("m", F.lit(0)), "u": F.coalesce("u", F.lit(0))})
         met = ids.join(own.hint("merge"), ["vid", "kind", "value"])
-        far = F.levenshtein("base", "first_base") > 0.6 * F.greatest(F.length("base"), F.length("first_base"))
+        # equal ones are most
+        far = F.when(F.col("base") == F.col("first_base"), False).otherwise(F.levenshtein("base", "first_base") > 0.6 * F.greatest(F.length("base"), F.length("first_base")))
         met = cut(met.select("ord", "vid", "kind", "value", "first", "first_base", "n", "m", "u", ((F.col("base") != "") & (F.col("first_base") != "") & far).alias("apart")))
         totals = met.groupBy("vid", "kind", "value").agg(F.min("first").alias("first"), F.min("first_base").alias("first_base"), F.min("n").alias("n"), F.sum(F.col("apart").cast("long")).alias("unlike"), F.min("m").alias("m"), F.min("u").alias("u"))
         # paper ids mean what they say; another identifier is a placeholder where unlike titles have it

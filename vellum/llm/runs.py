@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
@@ -146,18 +146,20 @@ class SortedRuns:
             f.delete_dir(f"{root}/{r}")
             f.delete_file(f"{root}/{r}.index")
 
-    def search(self, asked: DataFrame, lo: str, hi: str, found: dict[str, str], same: tuple[str, str] | None = None, runs: list[str] | None = None) -> DataFrame:
+    def search(self, asked: DataFrame, lo: str, hi: str, found: dict[str, str], same: tuple[str, str] | None = None, runs: list[str] | None = None, fits: tuple[tuple[str, ...], Callable] | None = None) -> DataFrame:
         """The columns of `asked` but for the bounds, with the columns `found` (name in the runs -> name here) of each row whose
-        key is between `lo` and `hi`. `same`: a column of `asked` and one of the runs that must be equal too. Nearly sorted
-        ranges open each row group about once."""
+        key is between `lo` and `hi`. `same`: a column of `asked` and one of the runs that must be equal too. `fits`: columns of both
+        and a test of them, as arrays of `asked` and then of the runs, which leave the answer. Nearly sorted ranges open each row
+        group about once."""
         kinds = {n: t for n, t in self.read(runs[:1] if runs else None).dtypes} if (self.live() if runs is None else runs) else None
-        keep = [c for c in asked.columns if c not in (lo, hi)]
+        tested, test = fits or ((), None)
+        keep = [c for c in asked.columns if c not in (lo, hi, *tested)]
         types = dict(asked.dtypes)
         if kinds is None:
             raise ValueError("no run to search")
         schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"`{b}` {kinds[a]}" for a, b in found.items())])
         folder, key, indexes = self.folder, self.key, [f"{r}.index" for r in (self.live() if runs is None else runs)]
-        columns = list(dict.fromkeys([*found, *([same[1]] if same else [])]))
+        columns = list(dict.fromkeys([*found, *([same[1]] if same else []), *tested]))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
@@ -173,10 +175,12 @@ class SortedRuns:
 
                     table = table.filter(pc.and_(pc.is_valid(table.column(lo)), pc.is_valid(table.column(hi))))
                 a, b = np.asarray(table.column(lo).to_numpy(), "int64"), np.asarray(table.column(hi).to_numpy(), "int64")
+                own_of = {c: table.column(c).to_numpy() for c in (*([same[0]] if same else []), *tested)}
                 table = table.select(keep)
                 for g in groups.touched(a, b):
                     rows = groups.rows(g)
                     keys = rows.column(key).to_numpy()
+                    other_of = {c: rows.column(c).to_numpy() for c in (*([same[1]] if same else []), *tested)}
                     first = np.searchsorted(keys, a, "left")
                     n = np.searchsorted(keys, b, "right") - first
                     ends = np.cumsum(n)
@@ -186,8 +190,10 @@ class SortedRuns:
                         i = np.searchsorted(ends, at, "right")
                         j = first[i] + at - (ends[i] - n[i])
                         if same:
-                            own, other = table.column(same[0]).to_numpy()[i], rows.column(same[1]).to_numpy()[j]
-                            fit = own == other
+                            fit = own_of[same[0]][i] == other_of[same[1]][j]
+                            i, j = i[fit], j[fit]
+                        if test and len(i):
+                            fit = test(*(own_of[c][i] for c in tested), *(other_of[c][j] for c in tested))
                             i, j = i[fit], j[fit]
                         if not len(i):
                             continue
@@ -195,4 +201,4 @@ class SortedRuns:
                         cols = [left.column(c).combine_chunks() for c in keep] + [right.column(c).combine_chunks() for c in found]
                         yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[*keep, *found.values()])
 
-        return asked.select(*keep, lo, hi).mapInArrow(look, schema)
+        return asked.select(*keep, *tested, lo, hi).mapInArrow(look, schema)
