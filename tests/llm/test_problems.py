@@ -202,7 +202,8 @@ def test_the_forms_lose_no_pair():
     import numpy as np
 
     rng = random.Random(9)
-    usual = history.Usual(["mapping", "erosion", "basin", "radar", "images", "survey", "limits", "valley", "since", "snow"])
+    words = ["mapping", "erosion", "basin", "radar", "images", "survey", "limits", "valley", "since", "snow"]
+    usual = history.Usual(words)
     word = lambda: "".join(rng.choice("aeioklmnrstv") for _ in range(rng.randint(5, 10)))
 
     def slipped(t):
@@ -215,7 +216,7 @@ def test_the_forms_lose_no_pair():
     pairs = []
     for i in range(6000):
         if i % 4:
-            a = " ".join(rng.choice([*usual.words] * 2 + [word()]) for _ in range(rng.randint(4, 9)))
+            a = " ".join(rng.choice(words * 2 + [word()]) for _ in range(rng.randint(4, 9)))
         else:
             a = "".join(rng.choice("沟谷源头土壤侵蚀流域雷达影像监测变化") for _ in range(rng.randint(8, 20)))
         b = slipped(slipped(a)) if i % 3 else slipped(a)[: rng.randint(len(a) // 2, len(a))]

@@ -235,8 +235,9 @@ def may_be_alike(form, head, name, short, other_form, other_head, other_name, ot
 
     Chinese: two slips, or one in a common beginning. Other titles, of one number of words: words differ by two slips each, four in the
     whole; or the last word was cut. One word more in one of them: left out in the other, or run into its neighbour there. Of several
-    words more: one is the beginning of the other, or words are run together. A beginning has three slips at most and agrees in enough
-    words to meet in a tree, so two of its first four words are right, in whatever place. Titles of two scripts have no feature in common.
+    words more: one is the beginning of the other, or words are run together, which makes unusual ones. A beginning has three slips at
+    most and agrees in enough words to meet in a tree, so two of its first four words are right, in whatever place. Titles of two
+    scripts have no feature in common.
     """
     import numpy as np
 
@@ -251,12 +252,14 @@ def may_be_alike(form, head, name, short, other_form, other_head, other_name, ot
     slips = 2 * np.minimum(rare, 2)
     slipped = (rare != other_rare) | (apart <= slips) & (bits <= 2 * slips) | ((form | other_form) >> 62 == 1) & (bits <= apart + 6) & (apart > slips)
     # of unequal numbers of words, a usual one may have run into another, or a word that was cut may be the last
-    ends = np.where((form >> 57) & 15 == least, form, other_form) >> 62 == 1
+    fewer = (form >> 57) & 15 == least
+    ends = np.where(fewer, form, other_form) >> 62 == 1
+    ran = (words > least) & np.where(fewer, rare > other_rare, other_rare > rare)
     joined = (words > least) & (ends | (apart > 2) & (bits <= apart + 4))
     wide = (form >> 61) & 1 == 1
     one_script = ((form ^ other_form) >> 61) & 1 == 0
     ok = open_ | one_script & np.where(wide, bits <= np.maximum(4, apart + 2), slipped | joined)
-    begun = np.flatnonzero(ok & ~open_ & ~wide & (short | other_short | (words > least + 1)))
+    begun = np.flatnonzero(ok & ~open_ & ~wide & ~ran & (short | other_short | (words > least + 1)))
     if len(begun):
         lanes = [[(h[begun] >> 16 * k) & 0xFFFF for k in range(4)] for h in (head, other_head)]
         right = sum(((lanes[0][k] == lanes[1][m]) & (lanes[0][k] != 0)).astype("int64") for k in range(4) for m in range(4))
