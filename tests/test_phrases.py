@@ -60,6 +60,21 @@ def test_terms_in_papers_without_broadcast(spark):
     assert sorted((r["src"], r["dst"]) for r in rows) == [(1, "t1"), (2, "t1")] and not sent
 
 
+def test_terms_in_papers_sends_nothing_of_the_terms_through_the_driver(spark, monkeypatch):
+    terms = spark.createDataFrame([("t1", "Gully Head", "沟谷源头"), ("t2", "Loess", None)], "id string, english string, chinese string")
+    texts = spark.createDataFrame([(1, "the gully head"), (2, "沟谷源头"), (3, "loes")], "text_id int, text string")
+
+    def refused(*_, **__):
+        raise AssertionError("rows in the driver")
+
+    for name in ("collect", "toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(terms), name, refused)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    some, none = links.introduces(terms, texts), links.introduces(terms.where("id = ''"), texts)
+    monkeypatch.undo()
+    assert sorted((r["src"], r["dst"]) for r in some.collect()) == [(1, "t1"), (2, "t1")] and none.collect() == []
+
+
 def test_papers_shared_topics_of_copies_without_broadcast(spark):
     # two rows of a paper count together; a pair is given once though it meets in several cells
     df = spark.createDataFrame([("a", ["x", "Y"]), ("a", ["z"]), ("b", ["y", "z", "x", "z"]), ("c", ["z", None, "", "y"]), ("d", ["x"]), ("e", None)], "id string, items array<string>")
