@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
 from vellum.operators import curation as C
 from vellum.operators import dedup, links
 
@@ -95,6 +96,20 @@ def test_near_titles_equal_brute_force(spark):
     assert {k: v for k, v in got.items() if v != 0.92} == {k: v for k, v in want.items() if v != 0.92} and set(want) <= set(got)
 
 
+def test_near_titles_leave_no_pair_out(spark):
+    import random
+
+    rng = random.Random(11)
+    base = ["编者按", "编者按 黄土高原沟谷研究", "序", "dem", "dem of the upper karo basin and its gully heads", "a", "ab ba", "snow", "snow cover", "the snow cover of the kelo ridge and the karo basin"]
+    rows = [(i, t) for i, t in enumerate(base + ["".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 30))).strip() or "e" for _ in range(60)])]
+    x = spark.createDataFrame(rows, "id long, title string")
+    pairs = x.select(F.col("id").alias("a"), F.col("title").alias("xt")).crossJoin(x.select(F.col("id").alias("b"), F.col("title").alias("yt"))).withColumn("s", T.title_similarity(F.col("xt"), F.col("yt"))).collect()
+    for least in (0.9, 0.6, 0.4):
+        got = {(r["a_id"], r["b_id"]): round(r["similarity"], 9) for r in dedup.near_titles(x, x, least).collect()}
+        assert got == {(r["a"], r["b"]): round(r["s"], 9) for r in pairs if r["s"] >= least}
+        assert {(0, 1), (3, 4), (5, 6), (6, 5)} <= set(got)
+
+
 def test_near_titles_gather_no_pieces(spark):
     rows = [(i, f"mapping gully heads in the upper basin of site {i} with lidar") for i in range(30)] + [(90, "gully heads"), (91, "细沟网络研究")]
     x = spark.createDataFrame(rows, "id long, title string")
